@@ -6,7 +6,7 @@ import os
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import formatting_duplicates, match_groups, packing, tokenizer, vector_search
+from . import formatting_duplicates, match_groups, near_duplicates, packing, tokenizer, vector_search
 
 
 #: Where the public tokenizer files lie; TWINFOLD_TOKENIZERS names another folder.
@@ -33,6 +33,10 @@ def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return vector_search.found(_table(spark, sf_dir, "repo_function"))
 
 
+def p6_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_duplicates.found(_table(spark, sf_dir, "repo_function"))
+
+
 def p7_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokenizer.encode(_table(spark, sf_dir, "documents"), f"{TOKENIZERS}/byte_bpe_50k.json")
 
@@ -41,7 +45,7 @@ def p8_containers(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.containers(_table(spark, sf_dir, "documents"), f"{TOKENIZERS}/byte_bpe_50k.json")
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_copies, p3_found, p5_found, p7_ids, p8_containers)}
+QUERIES = {f.__name__: f for f in (p1_found, p1_copies, p3_found, p5_found, p6_found, p7_ids, p8_containers)}
 
 _P3_SQL = r"""
 WITH RECURSIVE l AS (

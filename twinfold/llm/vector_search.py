@@ -32,7 +32,7 @@ DIMENSIONS, VERSION = 96, "intent-v3"
 #: Neighbours asked for, and the cosine under which a vector doesn't count as a neighbour.
 K, MIN_COSINE = 5, 0.80
 #: Trees, points of a leaf, and the chance under which a leaf isn't visited any more.
-TREES, LEAF, MISS = 3, 1400, 0.055
+TREES, LEAF, MISS = 3, 1400, 0.2
 #: Vectors from which the medians are taken: a bounded sample; every vector is indexed.
 SAMPLE = 20_000
 #: What the 4-bit codes may understate a cosine by.
