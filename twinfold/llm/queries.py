@@ -6,7 +6,7 @@ import os
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import formatting_duplicates, match_groups, near_duplicates, packing, tokenizer, vector_search
+from . import formatting_duplicates, match_groups, near_duplicates, packing, source_kinds, spectral, tokenizer, vector_search
 
 
 #: Where the public tokenizer files lie; TWINFOLD_TOKENIZERS names another folder.
@@ -25,10 +25,22 @@ def p1_copies(spark: SparkSession, sf_dir: str) -> DataFrame:
     return formatting_duplicates.copies(_table(spark, sf_dir, "cache_record"))
 
 
+def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spectral.found(_table(spark, sf_dir, "repo_function"))
+
+
+def p2_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spectral.describe(_table(spark, sf_dir, "repo_function"))
+
+
 def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return match_groups.found(_table(spark, sf_dir, "labelled_pair"))
 
 
+def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return source_kinds.found(_table(spark, sf_dir, "source_file"), _table(spark, sf_dir, "library_file"))
+
+
 def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return vector_search.found(_table(spark, sf_dir, "repo_function"))
 
@@ -45,7 +57,7 @@ def p8_containers(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.containers(_table(spark, sf_dir, "documents"), f"{TOKENIZERS}/byte_bpe_50k.json")
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_copies, p3_found, p5_found, p6_found, p7_ids, p8_containers)}
+QUERIES = {f.__name__: f for f in (p1_found, p1_copies, p2_found, p2_clusters, p3_found, p4_found, p5_found, p6_found, p7_ids, p8_containers)}
 
 _P3_SQL = r"""
 WITH RECURSIVE l AS (
