@@ -6,7 +6,7 @@ import os
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import formatting_duplicates, match_groups, near_duplicates, packing, source_kinds, spectral, tokenizer, vector_search
+from . import formatting_duplicates, match_groups, near_duplicates, packing, source_kinds, spectral, subjects, tokenizer, vector_search
 
 
 #: Where the public tokenizer files lie; TWINFOLD_TOKENIZERS names another folder.
@@ -57,7 +57,11 @@ def p8_containers(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.containers(_table(spark, sf_dir, "documents"), f"{TOKENIZERS}/byte_bpe_50k.json")
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_copies, p2_found, p2_clusters, p3_found, p4_found, p5_found, p6_found, p7_ids, p8_containers)}
+def p9_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return subjects.found(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "subject_area"), _table(spark, sf_dir, "subject_label"))
+
+
+QUERIES = {f.__name__: f for f in (p1_found, p1_copies, p2_found, p2_clusters, p3_found, p4_found, p5_found, p6_found, p7_ids, p8_containers, p9_found)}
 
 _P3_SQL = r"""
 WITH RECURSIVE l AS (
