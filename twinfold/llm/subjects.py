@@ -26,7 +26,9 @@ from pyspark.sql import functions as F
 from ..runtime import stage, width
 
 #: Background topics, rounds over the corpus, and inner steps of a unit.
-BACKGROUND, ROUNDS, INNER = 8, 8, 12
+BACKGROUND, ROUNDS, INNER = 4, 4, 12
+#: Share of the units from which a word starts fully in the background; rarer words start there by the square.
+COMMON = 0.02
 #: Dirichlet parameters of topics in a unit and of words in a topic.
 ALPHA, ETA = 0.1, 0.01
 #: Words kept: units that hold the word, at least and as a share at most, and the number of words at most.
@@ -173,12 +175,15 @@ def fit(units: DataFrame, words: list[str], held: np.ndarray, subjects: list[str
     n_words, n_subjects = held.shape
     rng = np.random.default_rng(3)
     corpus = np.zeros(n_words)
-    totals = units.select(F.explode(F.arrays_zip("w", "n")).alias("x")).groupBy("x.w").agg(F.sum("x.n").alias("n")).toPandas()
+    totals = units.select(F.explode(F.arrays_zip("w", "n")).alias("x")).groupBy("x.w").agg(F.sum("x.n").alias("n"), F.count(F.lit(1)).alias("units")).toPandas()
+    n_units = max(units.count(), 1)
+    common = np.zeros(n_words)
+    common[totals["w"].to_numpy(int)] = np.minimum(1.0, totals["units"] / (COMMON * n_units)) ** 2
     corpus[totals["w"].to_numpy(int)] = totals["n"]
     own = lift(held)
     start = np.zeros((n_words, n_subjects + BACKGROUND))
     start[:, :n_subjects] = corpus[:, None] * np.where(own > 0.3, own, 0.0) ** 2 + 1e-3
-    rest = corpus * (1 - own.max(1, initial=0.0)) + 1e-3
+    rest = corpus * common * (1 - own.max(1, initial=0.0)) + 1e-3
     start[:, n_subjects:] = rest[:, None] * rng.gamma(2.0, 0.5, (n_words, BACKGROUND))
     beta = _normal(start + ETA)
     for _ in range(ROUNDS):
