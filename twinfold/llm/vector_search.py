@@ -115,13 +115,15 @@ def usable(functions: DataFrame, id_col: str = "function_id", dimensions: int =
 
 def classes(vectors: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(c, vector) of the distinct vectors and (id, c) of their members."""
-    key = F.struct(F.xxhash64("vector").alias("h"), F.xxhash64(F.lit(1), F.col("vector")).alias("g"))
-    keyed = vectors.withColumn("k", key)
-    latest = stage(keyed.groupBy("id").agg(F.max_by("k", F.struct("_at", "k")).alias("k")), "p5-latest")
-    live = latest.select("k").distinct()
-    points = keyed.groupBy("k").agg(F.first("vector").alias("vector")).join(live, "k", "left_semi")
+    keyed = vectors.withColumn("h", F.xxhash64("vector")).withColumn("g", F.xxhash64(F.lit(1), F.col("vector")))
+    latest = keyed.groupBy("id").agg(F.max_by(F.struct("h", "g"), F.struct("_at", "h", "g")).alias("k")).select("id", "k.h", "k.g")
+    latest = stage(latest, "p5-latest")
+    live = latest.select("h", "g").distinct()
+    points = keyed.groupBy("h", "g").agg(F.first("vector").alias("vector")).join(live, ["h", "g"], "left_semi")
     points = stage(points.withColumn("c", F.monotonically_increasing_id()), "p5-points")
-    members = salted_lookup(latest, points.select("k", "c"), "k", F.xxhash64("id")).select("id", "c")
+    # the second hash joins, too: both together name a vector
+    named = points.select(F.struct("h", "g").alias("k"), "c")
+    members = salted_lookup(latest.select("id", F.struct("h", "g").alias("k")), named, "k", F.xxhash64("id")).select("id", "c")
     return points.select("c", "vector"), stage(members, "p5-members")
 
 
@@ -248,8 +250,7 @@ def similar_pairs(points: DataFrame, min_cosine: float = MIN_COSINE, trees: int
     reach = 2 - 2 * min_cosine
     parts = max(width(spark), n * trees // 20_000)
     met = (
-        points.repartition(width(spark))
-        .mapInArrow(_addresses(forest, reach, stop_distances(miss, levels)), "leaf long, visit boolean, c long, code binary")
+        points.mapInArrow(_addresses(forest, reach, stop_distances(miss, levels)), "leaf long, visit boolean, c long, code binary")
         .repartition(parts, "leaf")
         .sortWithinPartitions("leaf")
         .mapInArrow(_meet(min_cosine - CODE_SLACK, (dimensions + 1) // 2), "a long, b long")
