@@ -72,4 +72,37 @@ r AS (SELECT s AS v, s AS w FROM e UNION SELECT r.v, e.t FROM r JOIN e ON r.w =
 SELECT min(w) AS group_id, v AS function_id FROM r GROUP BY v
 """
 
-ORACLE_SQL = {"p3_found": _P3_SQL}
+_PLAIN = "lower(regexp_replace({0}, '[\\s\\x0b\\x1c-\\x1f\\x85\\p{{Z}}\\x{{feff}}\\x{{200b}}''\"`;,]+', '', 'g'))"
+
+
+def _plain(c: str) -> str:
+    return _PLAIN.format(c)
+
+
+_FIELDS = """'{"name":"VARCHAR","file":"VARCHAR","signature":"VARCHAR","params":["VARCHAR"],"returnTypeText":"VARCHAR","imports":["VARCHAR"],"isExported":"BOOLEAN","callsExternal":"BOOLEAN","isPure":"BOOLEAN"}'"""
+_P1_SQL = f"""
+r AS (SELECT record_id, body, from_json(attrs, {_FIELDS}) AS a FROM cache_record),
+g AS (SELECT record_id, min(record_id) OVER (PARTITION BY {_plain("body")}, {_plain("a.name")}, {_plain("a.file")}, {_plain("a.signature")}, {_plain("a.returnTypeText")},
+  list_transform(a.params, lambda x: {_plain("x")}), list_transform(a.imports, lambda x: {_plain("x")}), a.isExported, a.callsExternal, a.isPure) AS keep_id FROM r)"""
+
+_VECTORS = """u AS (SELECT function_id AS id, embedding AS v FROM repo_function WHERE embed_version = 'intent-v3' AND len(embedding) = 96 AND list_sum([abs(x) for x in embedding]) > 0
+  QUALIFY row_number() OVER (PARTITION BY function_id ORDER BY updated_at DESC) = 1),
+s AS (SELECT a.id AS a, b.id AS b, list_cosine_similarity(a.v, b.v) AS c FROM u a JOIN u b ON a.id <> b.id WHERE list_cosine_similarity(a.v, b.v) >= 0.80)"""
+
+_P6_SQL = r"""
+WITH f AS (SELECT function_id AS id, list_filter(string_split_regex(lower(coalesce(signature, '') || chr(10) || coalesce(body, '')), '[^a-z0-9_$]+'), lambda x: x <> '') AS t
+  FROM repo_function QUALIFY row_number() OVER (PARTITION BY function_id ORDER BY updated_at DESC) = 1),
+r AS (SELECT DISTINCT id, unnest(list_transform(range(1, greatest(len(t) - 1, 1)), lambda k: t[k] || ' ' || t[k + 1] || ' ' || t[k + 2])) AS run FROM f),
+n AS (SELECT id, count(*) AS n FROM r GROUP BY id),
+p AS (SELECT x.id AS a, y.id AS b, count(*) AS c FROM r x JOIN r y ON x.run = y.run AND x.id < y.id GROUP BY ALL)
+SELECT a AS function_a, b AS function_b FROM p JOIN n m ON m.id = a JOIN n o ON o.id = b WHERE 5 * c >= 3 * (m.n + o.n - c)
+"""
+
+ORACLE_SQL = {
+    "p1_found": f"WITH {_P1_SQL} SELECT DISTINCT keep_id, record_id AS copy_id FROM g WHERE record_id <> keep_id",
+    "p1_copies": f"WITH {_P1_SQL} SELECT keep_id, count(DISTINCT record_id) AS n_copies FROM g GROUP BY keep_id",
+    "p2_found": f"WITH RECURSIVE {_VECTORS}, w AS (SELECT a AS v, a AS w FROM s UNION SELECT w.v, s.b FROM w JOIN s ON w.w = s.a) SELECT min(w) AS cluster_key, v AS function_id FROM w GROUP BY v",
+    "p3_found": _P3_SQL,
+    "p5_found": f"WITH {_VECTORS}, k AS (SELECT * FROM s QUALIFY row_number() OVER (PARTITION BY a ORDER BY round(c, 12) DESC, b) <= 5) SELECT DISTINCT least(a, b) AS function_a, greatest(a, b) AS function_b FROM k",
+    "p6_found": _P6_SQL,
+}
