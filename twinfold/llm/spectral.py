@@ -27,12 +27,12 @@ from ..runtime import hot_keys, salted_lookup, stage
 from . import match_groups, vector_search
 
 #: Vectors that are iterated, steps between two looks at their movement, and how often to look at most.
-VECTORS, STEPS, LOOKS = 5, 6, 5
+VECTORS, STEPS, LOOKS = 4, 5, 5
 #: Width of a cell, the share of it within which seeds count as one, and the movement at which the vectors stand still.
 #: Within a group of cosines >= 0.8 a step leaves at most a ninth of the differences.
-CELL, MARGIN, STILL = 1e-3, 0.1, 2e-4
+CELL, MARGIN, STILL = 2.5e-4, 0.1, 1e-4
 #: Share of the rows that may still move: they belong to stretched groups, which the last check puts together.
-RESTLESS = 0.001
+RESTLESS = 0.02
 #: Members named as typical of a cluster.
 TYPICAL = 3
 

@@ -193,7 +193,7 @@ def _addresses(forest, reach: float, stops: np.ndarray):
                 codes = _codes(unit)
                 for t, row, node, home in trees.visits(unit, reach, stops):
                     yield pa.RecordBatch.from_arrays(
-                        [pa.array(node + (t << 40)), pa.array(~home), pa.array(c[row]), bytes_column(codes[row])], names=["leaf", "visit", "c", "code"]
+                        [pa.array(node + (t << 40)), pa.array(np.where(home, c[row], ~c[row])), bytes_column(codes[row])], names=["leaf", "c", "code"]
                     )
 
     return run
@@ -204,8 +204,9 @@ def _meet(least: float, n_bytes: int):
         import pyarrow as pa
 
         for table in runs(batches):
-            visit = table.column("visit").to_numpy(zero_copy_only=False)
             c = table.column("c").to_numpy()
+            visit = c < 0  # a class that visits comes as the complement of its number
+            c = np.where(visit, ~c, c)
             unit = _decoded(fixed_bytes(table, "code", n_bytes))
             home = np.flatnonzero(~visit)
             order = np.concatenate([home, np.flatnonzero(visit)])
@@ -250,7 +251,7 @@ def similar_pairs(points: DataFrame, min_cosine: float = MIN_COSINE, trees: int
     reach = 2 - 2 * min_cosine
     parts = max(width(spark), n * trees // 20_000)
     met = (
-        points.mapInArrow(_addresses(forest, reach, stop_distances(miss, levels)), "leaf long, visit boolean, c long, code binary")
+        points.mapInArrow(_addresses(forest, reach, stop_distances(miss, levels)), "leaf long, c long, code binary")
         .repartition(parts, "leaf")
         .sortWithinPartitions("leaf")
         .mapInArrow(_meet(min_cosine - CODE_SLACK, (dimensions + 1) // 2), "a long, b long")
