@@ -16,6 +16,11 @@ from .similarity import similar_pairs
 MAX_COMPONENT = 3_000
 
 
+def _sign(links: DataFrame) -> tuple:
+    """Count and two order-free hashes of the distinct links: equal signs mean equal sets."""
+    return tuple(links.agg(F.count(F.lit(1)), F.bit_xor(F.xxhash64("u", "v")), F.bit_xor(F.xxhash64(F.lit(1), "v", "u"))).head())
+
+
 def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     """(id, component): the smallest identifier that each vertex of (a, b) is connected to.
 
@@ -23,6 +28,7 @@ def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     with the logarithm of the longest path, and no vertex gathers its neighbourhood in one task beyond a minimum.
     """
     links = stage(edges.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct(), "cc-links")
+    sign = _sign(links)
     for _ in range(max_rounds):
         both = links.unionByName(links.select(F.col("v").alias("u"), F.col("u").alias("v")))
         low = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
@@ -31,9 +37,9 @@ def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
         low = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(low, "u").select(F.explode(F.array(F.struct("v", "m"), F.struct(F.col("u").alias("v"), "m"))).alias("x"))
         small = stage(small.select(F.col("x.v").alias("u"), F.col("x.m").alias("v")).where("u <> v").distinct(), "cc-small")
-        changed = small.exceptAll(links).limit(1).count() + links.exceptAll(small).limit(1).count()
-        links = small
-        if not changed:
+        links, before = small, sign
+        sign = _sign(links)
+        if sign == before:
             break
     else:
         raise RuntimeError(f"components are still growing after {max_rounds} rounds")

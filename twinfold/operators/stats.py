@@ -96,13 +96,25 @@ def best_threshold(swept: DataFrame) -> DataFrame:
     return swept.orderBy(F.desc("f1"), "threshold").limit(1)
 
 
-def distribution(values: DataFrame, by: str, value: str) -> DataFrame:
-    """Count, least, upper median, mean and largest of ``value`` by ``by``; the median is exact and an actual value."""
-    rows = values.where(F.col(value).isNotNull())
-    ranked = rows.withColumn("_k", F.row_number().over(Window.partitionBy(by).orderBy(value)) - 1)
-    size = rows.groupBy(by).agg(F.count(F.lit(1)).alias("n"), F.min(value).alias("least"), F.avg(value).alias("mean"), F.max(value).alias("largest"))
-    middle = ranked.join(size.select(by, "n"), by).where(F.col("_k") == F.floor(F.col("n") / 2)).select(by, F.col(value).alias("median"))
-    return size.join(middle, by).select(by, "n", "least", "median", "mean", "largest")
+def distribution(values: DataFrame, by: str, value: str, buckets: int = 4096) -> DataFrame:
+    """Count, least, upper median, mean and largest of ``value`` by ``by``; the median is exact and an actual value.
+
+    The median's bucket is found from at most ``buckets`` counts a group, and only the distinct values in it are
+    ordered: no group is ever sorted by one task.
+    """
+    rows = values.where(F.col(value).isNotNull()).select(F.col(by).alias("g"), F.col(value).alias("v"))
+    size = rows.groupBy("g").agg(F.count(F.lit(1)).alias("n"), F.min("v").alias("least"), F.avg("v").alias("mean"), F.max("v").alias("largest"))
+    span = F.nullif(F.col("largest") - F.col("least"), F.lit(0.0))
+    bucket = F.coalesce(F.floor((F.col("v") - F.col("least")) / span * buckets), F.lit(0))
+    counts = rows.join(size.withColumnRenamed("g", "sg"), F.col("g").eqNullSafe(F.col("sg"))).select("g", "v", bucket.alias("k"), F.floor(F.col("n") / 2).alias("at"))
+    held = counts.groupBy("g", "k", "at").agg(F.count(F.lit(1)).alias("c"))
+    up = F.sum("c").over(Window.partitionBy("g").orderBy("k"))
+    held = held.withColumn("_up", up).where((F.col("_up") > F.col("at")) & (F.col("_up") - F.col("c") <= F.col("at"))).select("g", "k", (F.col("_up") - F.col("c")).alias("before"))
+    inside = counts.join(held.withColumnsRenamed({"g": "hg", "k": "hk"}), (F.col("hk") == F.col("k")) & F.col("hg").eqNullSafe(F.col("g")))
+    inside = inside.groupBy("g", "v", "at", "before").agg(F.count(F.lit(1)).alias("c"))
+    inside = inside.withColumn("_up", F.col("before") + F.sum("c").over(Window.partitionBy("g").orderBy("v"))).where((F.col("_up") > F.col("at")) & (F.col("_up") - F.col("c") <= F.col("at")))
+    middle = inside.select(F.col("g").alias("mg"), F.col("v").alias("median"))
+    return size.join(middle, F.col("g").eqNullSafe(F.col("mg"))).select(F.col("g").alias(by), "n", "least", "median", "mean", "largest")
 
 
 def divergence(cells: DataFrame) -> DataFrame:
