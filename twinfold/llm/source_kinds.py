@@ -35,8 +35,9 @@ KINDS = ("generated", "minified", "third_party", "data")
 GRAMS, GRAM_DIMS, PATH_DIMS = (3, 4, 5), 1 << 13, 1 << 9
 #: Rows for fitting: of each kind, and of files without a sign of any kind.
 PER_KIND, NEGATIVES = 400, 1200
-#: Share of a file's five-token runs that make it a copy, and known files that may be shipped to the workers.
-CONTAINED, SHIPPED_FILES = 0.5, 5_000
+#: Share of a file's five-token runs that make it a copy, and characters of known files whose runs may be shipped to
+#: the workers (eight bytes a run, some ten characters each).
+CONTAINED, SHIPPED_CHARS = 0.5, 50_000_000
 
 # What files say about themselves.
 SAYS_GENERATED = re.compile(
@@ -183,13 +184,19 @@ class Model:
         return [k for k, w in self.weights.items() if float(x @ w[:-1] + w[-1]) > self.thresholds[k]]
 
 
-def _runs(code: str) -> set[int]:
+def _runs(code: str) -> np.ndarray:
+    """Sorted hashes of the runs of five tokens."""
     tokens = _TOKEN.findall(code)
-    return {hash_run(tokens[i : i + 5]) for i in range(len(tokens) - 4)}
+    every = {hashlib.blake2b("\x00".join(tokens[i : i + 5]).encode(), digest_size=8).digest() for i in range(len(tokens) - 4)}
+    return np.sort(np.frombuffer(b"".join(every), np.uint64))
 
 
-def hash_run(tokens: list[str]) -> int:
-    return int.from_bytes(hashlib.blake2b("\x00".join(tokens).encode(), digest_size=8).digest(), "big")
+def _held(own: np.ndarray, known: np.ndarray) -> int:
+    """How many of ``own`` are in the sorted ``known``."""
+    if not len(known):
+        return 0
+    at = np.minimum(np.searchsorted(known, own), len(known) - 1)
+    return int((known[at] == own).sum())
 
 
 def latest(files: DataFrame) -> DataFrame:
@@ -238,12 +245,11 @@ def classify(files: DataFrame, third_party: DataFrame | None = None, model: Mode
     spark = files.sparkSession
     files = stage(latest(files), "p4-files")
     model = model or learn(files, third_party)
-    known: set[int] = set()
+    known = np.zeros(0, np.uint64)
     if third_party is not None and not third_party.isEmpty():
-        if third_party.count() > SHIPPED_FILES:
-            raise ValueError(f"more than {SHIPPED_FILES} known third-party files: split the table and classify against each part")
-        for body in third_party.select("body").toPandas()["body"].dropna():
-            known |= _runs(lead_and_code(body)[1])
+        if (third_party.agg(F.sum(F.length("body"))).head()[0] or 0) > SHIPPED_CHARS:
+            raise ValueError(f"more than {SHIPPED_CHARS} characters of known files: split the table and classify against each part")
+        known = np.unique(np.concatenate([known, *(_runs(lead_and_code(b)[1]) for b in third_party.select("body").toPandas()["body"].dropna())]))
     shipped = spark.sparkContext.broadcast((model, known))
     kind_type = files.schema["file_id"].dataType.simpleString()
 
@@ -260,8 +266,8 @@ def classify(files: DataFrame, third_party: DataFrame | None = None, model: Mode
                 said = marks(path, lead)
                 if said:
                     how.append("said")
-                own = _runs(code) if copied else set()
-                if own and len(own & copied) >= CONTAINED * len(own):
+                own = _runs(code) if len(copied) else copied
+                if len(own) and _held(own, copied) >= CONTAINED * len(own):
                     said.add("third_party")
                     how.append("contained")
                 kinds.append(sorted(said.union(seen)))

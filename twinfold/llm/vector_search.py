@@ -35,6 +35,9 @@ K, MIN_COSINE = 5, 0.80
 TREES, LEAF, MISS = 3, 1400, 0.2
 #: Vectors from which the medians are taken: a bounded sample; every vector is indexed.
 SAMPLE = 20_000
+#: Levels whose split values are kept by node; deeper ones split every node at the level's own median, so that what
+#: is shipped to the workers doesn't grow with the index.
+NODE_LEVELS = 12
 #: What the 4-bit codes may understate a cosine by.
 CODE_SLACK = 0.06
 
@@ -75,16 +78,20 @@ class Forest:
         rng = np.random.default_rng(seed)
         self.levels = levels
         self.directions = rng.standard_normal((trees, sample.shape[1], levels)).astype(np.float32)
-        self.splits = np.zeros((trees, 1 << levels), np.float32)
+        self.splits = np.zeros((trees, 1 << min(levels, NODE_LEVELS)), np.float32)
+        self.medians = np.zeros((trees, levels), np.float32)
         for t in range(trees):
             shadow = sample @ self.directions[t]
             node = np.ones(len(sample), np.int64)
             for level in range(levels):
-                everywhere = np.median(shadow[:, level]) if len(sample) else 0.0
-                for n in range(1 << level, 2 << level):
+                everywhere = self.medians[t, level] = np.median(shadow[:, level]) if len(sample) else 0.0
+                for n in range(1 << level, 2 << level) if level < NODE_LEVELS else ():
                     here = shadow[node == n, level]
                     self.splits[t, n] = np.median(here) if len(here) >= 8 else everywhere
-                node = node * 2 + (shadow[:, level] > self.splits[t, node])
+                node = node * 2 + (shadow[:, level] > self._split(t, level, node))
+
+    def _split(self, t: int, level: int, node: np.ndarray) -> np.ndarray:
+        return self.splits[t, node] if level < NODE_LEVELS else self.medians[t, level]
 
     def visits(self, unit: np.ndarray, reach: float, stops: np.ndarray) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray]]:
         """By tree: row, leaf and whether it is the row's own leaf. ``reach`` is the squared distance to look for."""
@@ -93,7 +100,7 @@ class Forest:
             row, node = np.arange(len(unit)), np.ones(len(unit), np.int64)
             far, crossed = np.zeros(len(unit), np.float32), np.zeros(len(unit), np.int64)
             for level in range(self.levels):
-                gap = shadow[row, level] - self.splits[t, node]
+                gap = shadow[row, level] - self._split(t, level, node)
                 side = (gap > 0).astype(np.int64)
                 beyond = far + gap * gap
                 go = beyond <= reach * stops[crossed + 1]
@@ -247,7 +254,7 @@ def similar_pairs(points: DataFrame, min_cosine: float = MIN_COSINE, trees: int
     sample = np.array(list(sample), np.float32).reshape(-1, dimensions)
     sample /= np.linalg.norm(sample, axis=1, keepdims=True)
     levels = max(1, math.ceil(math.log2(max(n, 2) / leaf)))
-    forest = spark.sparkContext.broadcast(Forest(sample, levels, trees))  # at most 2n / leaf numbers a tree
+    forest = spark.sparkContext.broadcast(Forest(sample, levels, trees))  # of bounded size
     reach = 2 - 2 * min_cosine
     parts = max(width(spark), n * trees // 20_000)
     met = (
