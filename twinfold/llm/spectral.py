@@ -27,10 +27,10 @@ from ..runtime import hot_keys, salted_lookup, stage
 from . import match_groups, vector_search
 
 #: Vectors that are iterated, steps between two looks at their movement, and how often to look at most.
-VECTORS, STEPS, LOOKS = 4, 5, 5
+VECTORS, STEPS, LOOKS = 4, 4, 5
 #: Width of a cell, the share of it within which seeds count as one, and the movement at which the vectors stand still.
 #: Within a group of cosines >= 0.8 a step leaves at most a ninth of the differences.
-CELL, MARGIN, STILL = 2.5e-4, 0.1, 1e-4
+CELL, MARGIN, STILL = 5e-4, 0.1, 5e-4
 #: Share of the rows that may still move: they belong to stretched groups, which the last check puts together.
 RESTLESS = 0.02
 #: Members named as typical of a cluster.
@@ -52,7 +52,7 @@ def _start(node: Column, k: int) -> Column:
 def iterate(links: DataFrame, hot: DataFrame) -> DataFrame:
     """(i, x0, x1, ...): the vectors once they stand still, or after the last look."""
     names = [f"x{k}" for k in range(VECTORS)]
-    state = links.select("i").distinct().select("i", *[_start(F.col("i"), k).alias(x) for k, x in enumerate(names)])
+    state = links.where("i = j").select("i", *[_start(F.col("i"), k).alias(x) for k, x in enumerate(names)])
     for _ in range(LOOKS):
         for step in range(STEPS):
             product = salted_lookup(links, state.withColumnRenamed("i", "j"), "j", F.xxhash64("i"), hot=hot)
