@@ -3,7 +3,8 @@
 One linear support-vector classifier a kind, on hashed character n-grams of the text and hashed components of the
 path. No labels exist, so seeds are found by what a file says or how it is built; the leading comments that give
 seeds away are masked before the n-grams are taken, so the classifiers learn the code itself and also find files
-without such a comment. Rows that look like a kind after the first fit leave the negatives of the second. A fifth of
+without such a comment. Rows without a sign that look like a kind to a
+machine that wasn't fitted on them leave the negatives. A fifth of
 the repositories is held out whole, and each kind's threshold is set on them.
 
 The sample for fitting is bounded (``PER_KIND``, ``NEGATIVES``); every file is classified, over its whole text. After
@@ -35,6 +36,8 @@ KINDS = ("generated", "minified", "third_party", "data")
 GRAMS, GRAM_DIMS, PATH_DIMS = (3, 4, 5), 1 << 13, 1 << 9
 #: Rows for fitting: of each kind, and of files without a sign of any kind.
 PER_KIND, NEGATIVES = 400, 1200
+#: Score from which a file without a sign is taken out of the negatives, and the highest threshold.
+ALIKE = 0.3
 #: Share of a file's five-token runs that make it a copy, and characters of known files whose runs may be shipped to
 #: the workers (eight bytes a run, some ten characters each).
 CONTAINED, SHIPPED_CHARS = 0.5, 50_000_000
@@ -51,7 +54,7 @@ SAYS_THIRD_PARTY = re.compile(
     re.I | re.M,
 )
 THIRD_PARTY_PARTS = {"vendor", "vendored", "third_party", "third-party", "thirdparty", "3rdparty", "node_modules", "bower_components", "external"}
-GENERATED_PARTS = {"generated", "__generated__"}
+GENERATED_PARTS = {"generated", "__generated__", "autogen", "autogenerated", "gen-src"}
 GENERATED_ENDS = re.compile(r"\.(pb|g|gen|generated)\.[cm]?[jt]sx?$", re.I)
 MINIFIED_ENDS = re.compile(r"[.\-](min|bundle)\.[cm]?js$", re.I)
 
@@ -122,7 +125,7 @@ def features(path: str, code: str) -> np.ndarray:
     return out
 
 
-def fit(x: np.ndarray, y: np.ndarray, cost: float = 4.0, passes: int = 30) -> np.ndarray:
+def fit(x: np.ndarray, y: np.ndarray, cost: float = 4.0, passes: int = 15) -> np.ndarray:
     """Weights and bias of the L2-regularised squared-hinge machine, by dual coordinate descent; classes balanced."""
     x = np.hstack([x, np.ones((len(x), 1), np.float32)])
     w, alpha = np.zeros(x.shape[1], np.float64), np.zeros(len(x))
@@ -148,34 +151,38 @@ class Model:
         self.weights: dict[str, np.ndarray] = {}
         self.thresholds: dict[str, float] = {}
         self.report: dict[str, tuple[float, float]] = {}
-        for turn in range(2):
-            scores = {k: self._score(x, w) for k, w in self.weights.items()}
-            suspect = np.any([s > 0 for s in scores.values()], axis=0) & clean if scores else np.zeros(len(x), bool)
+        fold = np.arange(len(x)) % 2
+        suspect = np.zeros(len(x), bool)  # without a sign, but alike to a kind in the eyes of a machine that didn't see them
+        for _ in range(2):
+            strange = np.zeros(len(x), bool)
             for kind in KINDS:
                 y = np.array([1.0 if kind in k else -1.0 for k in kinds])
-                use = ((y > 0) | clean) & ~suspect
-                if not (y[use] > 0).any() or not (y[use] < 0).any():
-                    continue
-                train = use & ~held
-                if not (y[train] > 0).any() or not (y[train] < 0).any():
-                    train = use
-                self.weights[kind] = self._one(x[train], y[train])
-                if turn:
-                    self._settle(kind, x[use & held], y[use & held])
-
-    @staticmethod
-    def _one(x: np.ndarray, y: np.ndarray) -> np.ndarray:
-        return fit(x, y)
+                use = ((y > 0) | clean) & ~suspect & ~held
+                for f in (0, 1):
+                    train = use & (fold != f)
+                    if (y[train] > 0).any() and (y[train] < 0).any():
+                        strange |= (fold == f) & (self._score(x, fit(x[train], y[train])) > ALIKE)
+            suspect = clean & strange
+        for kind in KINDS:
+            y = np.array([1.0 if kind in k else -1.0 for k in kinds])
+            use = ((y > 0) | clean) & ~suspect
+            if not (y[use] > 0).any() or not (y[use] < 0).any():
+                continue
+            train = use & ~held
+            if not (y[train] > 0).any() or not (y[train] < 0).any():
+                train = use
+            self.weights[kind] = fit(x[train], y[train])
+            self._settle(kind, x[use & held], y[use & held])
 
     @staticmethod
     def _score(x: np.ndarray, w: np.ndarray) -> np.ndarray:
         return x @ w[:-1] + w[-1]
 
     def _settle(self, kind: str, x: np.ndarray, y: np.ndarray) -> None:
-        """Half way between 0 and the largest held-out negative, but not under 0."""
+        """The threshold: what nearly all held-out negatives stay under, but not under 0."""
         s = self._score(x, self.weights[kind]) if len(x) else np.zeros(0)
-        worst = float(np.quantile(s[y < 0], 0.995)) if (y < 0).any() else 0.0
-        self.thresholds[kind] = max(0.0, worst / 2)
+        worst = float(np.quantile(s[y < 0], 0.998)) if (y < 0).any() else 0.0
+        self.thresholds[kind] = min(max(0.0, worst), ALIKE)
         said = s > self.thresholds[kind]
         hit = int((said & (y > 0)).sum())
         self.report[kind] = (hit / max(1, int(said.sum())), hit / max(1, int((y > 0).sum())))
