@@ -13,7 +13,7 @@ contained in a known third-party file.
 
 Defined results
     null or blank text    judged by its path alone
-    null path             judged by its text alone
+    null path             judged by its text alone; with neither, hand-written
     repeated rows         one identifier counts once, with its latest fetch
     null identifier       left out
     no third-party table  may be None or empty
@@ -188,6 +188,9 @@ class Model:
         self.report[kind] = (hit / max(1, int(said.sum())), hit / max(1, int((y > 0).sum())))
 
     def kinds_of(self, x: np.ndarray) -> list[str]:
+        """The kinds whose threshold a file passes; a file without any feature has none."""
+        if not x.any():
+            return []
         return [k for k, w in self.weights.items() if float(x @ w[:-1] + w[-1]) > self.thresholds[k]]
 
 
