@@ -139,6 +139,27 @@ def test_recall_with_many_leaves(spark):
     assert found >= 0.97 * 300 * 6
 
 
+def pairs_at(cosine, n, seed=4):
+    import datetime as dt
+
+    rng, now = np.random.default_rng(seed), dt.datetime(2025, 1, 1)
+    rows = []
+    for f in range(n):
+        x, y = rng.standard_normal((2, 96))
+        x /= np.linalg.norm(x)
+        y -= (y @ x) * x
+        y = cosine * x + (1 - cosine**2) ** 0.5 * y / np.linalg.norm(y)
+        rows += [(f"{f:04}-{k}", v.tolist(), "intent-v3", now, "x") for k, v in enumerate((x, y))]
+    return rows
+
+
+@pytest.mark.parametrize("cosine,leaf", [(0.805, 12), (0.805, 1.5), (0.85, 1.5)])
+def test_recall_does_not_fall_with_levels(spark, cosine, leaf):
+    rows = pairs_at(cosine, 1500)  # 8 and 11 levels
+    points, _ = vector_search.classes(vector_search.usable(vectors(spark, rows)))
+    assert vector_search.similar_pairs(points, leaf=leaf).count() >= 0.99 * 1500
+
+
 def test_copies_of_one_vector_stay_linear(spark):
     rows = families(1, 1) * 1
     rows = [(f"{k:03}", rows[0][1], *rows[0][2:]) for k in range(60)]

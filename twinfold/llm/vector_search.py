@@ -4,8 +4,9 @@ Each tree projects the unit vectors on a few Gaussian (2-stable) directions and
 direction per level. A query visits its own leaf, then further leaves in the order in which it would cross the
 fewest, nearest splits. Across ``f`` crossed splits at squared projected distance ``D`` a vector at true distance
 ``d`` is expected with a probability of at most 2**-f * P(chi2_f > D / d**2); the search of a tree stops where this
-falls under ``MISS``. Points and visits meet per leaf and are compared as blocks of 4-bit codes; what passes is
-verified with the full vectors. Cost a vector: trees x visited leaves x leaf size, at any number of vectors.
+falls under ``MISS``. A tree alone loses more pairs the more levels it has, so there are as many trees as pairs at
+``MIN_COSINE`` need to meet with a probability of ``RECALL``, whatever the size. Points and visits meet per leaf and are compared as blocks of 4-bit codes; what passes is
+verified with the full vectors. Cost a vector: trees x visited leaves x leaf size; the first two grow with the levels.
 
 Equal vectors are collapsed into one class first, so a class of any size is one point of the index.
 
@@ -31,8 +32,10 @@ from ..runtime import salted_lookup, stage, width
 DIMENSIONS, VERSION = 96, "intent-v3"
 #: Neighbours asked for, and the cosine under which a vector doesn't count as a neighbour.
 K, MIN_COSINE = 5, 0.80
-#: Trees, points of a leaf, and the chance under which a leaf isn't visited any more.
+#: Least number of trees, points of a leaf, and the chance under which a leaf isn't visited any more.
 TREES, LEAF, MISS = 3, 1400, 0.2
+#: Share of the pairs at the least cosine that the trees together are to find; it sets their number.
+RECALL = 0.998
 #: Vectors from which the medians are taken: a bounded sample; every vector is indexed.
 SAMPLE = 20_000
 #: Levels whose split values are kept by node; deeper ones split every node at the level's own median, so that what
@@ -71,6 +74,24 @@ def stop_distances(miss: float, levels: int) -> np.ndarray:
     return out
 
 
+def meeting_chance(cosine: float, reach: float, levels: int, miss: float, pairs: int = 1 << 16) -> float:
+    """Chance that two vectors of ``cosine`` meet in one tree, either visiting the other's leaf: simulated, fixed seed."""
+    rng = np.random.default_rng(5)
+    stops = stop_distances(miss, levels)
+    x, y = rng.standard_normal((2, pairs, levels))
+    y = cosine * x + math.sqrt(1 - cosine * cosine) * y
+    apart = (x > 0) != (y > 0)
+    limit = reach * stops[np.cumsum(apart, axis=1)]
+    comes = [((np.cumsum(np.where(apart, z * z, 0), axis=1) <= limit) | ~apart).all(1) for z in (x, y)]
+    return float((comes[0] | comes[1]).mean())
+
+
+def trees_needed(cosine: float, levels: int, miss: float = MISS, recall: float = RECALL) -> int:
+    """Trees with which pairs at ``cosine`` are found with a probability of ``recall``; at least ``TREES``."""
+    lost = 1 - meeting_chance(cosine, 2 - 2 * cosine, levels, miss)
+    return max(TREES, math.ceil(math.log(1 - recall) / math.log(lost))) if lost > 0 else TREES
+
+
 class Forest:
     """The kd-trees: directions and split values, from a sample."""
 
@@ -244,8 +265,11 @@ def _verify(least: float):
     return run
 
 
-def similar_pairs(points: DataFrame, min_cosine: float = MIN_COSINE, trees: int = TREES, leaf: int = LEAF, miss: float = MISS) -> DataFrame:
-    """(a, b, cosine) with a < b: the pairs of classes with at least ``min_cosine`` that the search meets."""
+def similar_pairs(points: DataFrame, min_cosine: float = MIN_COSINE, trees: int | None = None, leaf: int = LEAF, miss: float = MISS) -> DataFrame:
+    """(a, b, cosine) with a < b: the pairs of classes with at least ``min_cosine`` that the search meets.
+
+    ``trees``: as many as ``RECALL`` needs if not given.
+    """
     spark = points.sparkSession
     n = points.count()
     dimensions = len(points.select("vector").head()[0]) if n else 2
@@ -254,6 +278,7 @@ def similar_pairs(points: DataFrame, min_cosine: float = MIN_COSINE, trees: int
     sample = np.array(list(sample), np.float32).reshape(-1, dimensions)
     sample /= np.linalg.norm(sample, axis=1, keepdims=True)
     levels = max(1, math.ceil(math.log2(max(n, 2) / leaf)))
+    trees = trees or trees_needed(min_cosine, levels, miss)
     forest = spark.sparkContext.broadcast(Forest(sample, levels, trees))  # of bounded size
     reach = 2 - 2 * min_cosine
     parts = max(width(spark), n * trees // 20_000)
