@@ -236,6 +236,16 @@ def test_near_duplicates_against_brute_force(spark, monkeypatch, plan, hot):
     assert not got - truth and len(got & truth) >= 0.97 * len(truth)
 
 
+def test_anchors_do_not_depend_on_the_number_of_texts(spark, monkeypatch):
+    df = spark.createDataFrame([(i, t, None) for i, t in texts(4)], "id string, text string, _at timestamp")
+    count, anchors, seen = type(df).count, near_duplicates._anchors, set()
+    monkeypatch.setattr(near_duplicates, "_anchors", lambda n_words, fold, *rest: seen.add((n_words, fold)) or anchors(n_words, fold, *rest))
+    near_duplicates.near_pairs(df)
+    monkeypatch.setattr(type(df), "count", lambda self: 4_000_001 if self.columns == ["id"] else count(self))
+    near_duplicates.near_pairs(df)
+    assert len(seen) == 1
+
+
 def test_near_duplicate_edge_cases(spark):
     rows = [("a", "f(x)", "one two three four"), ("b", "F(X)", "One  two; three four"), ("c", None, "a b"), ("d", None, "a b"), ("e", "", None), (None, "f(x)", "one two three four"), ("a", "f(x)", "one two three four")]
     df = spark.createDataFrame([(*r, None, "x") for r in rows], "function_id string, signature string, body string, updated_at timestamp, text string")

@@ -37,8 +37,9 @@ TOKEN, RUN, LIKE = "[^a-z0-9_$]+", 3, 0.60
 BITS, INFO, RADIUS, GENERATOR = 23, 12, 3, 0xC75
 #: Bits by which words may differ and still surely meet.
 THRESHOLD = 1
-#: Words of a fingerprint, words that form one anchor's name, by the number of texts.
-PLANS = ((4_000_000, 6, 1), (1 << 62, 16, 2))
+#: Words of a fingerprint, and words that form one anchor's name: the same at all sizes, so that no pair is lost by
+#: other texts coming in. Comparisons a text grow with the number of texts.
+PLAN = (6, 1)
 #: Bits of the sketch and how many may differ.
 SKETCH, SKETCH_DIFFER = 128, 33
 #: Length from which a token takes part in every hash function, and in how many others one of the rest does.
@@ -236,7 +237,7 @@ def _verify(like: float):
 def near_pairs(texts: DataFrame, like: float = LIKE, plan: tuple[int, int] | None = None) -> tuple[DataFrame, DataFrame]:
     """For ``texts`` (id, text, _at): (a, b, share) between classes with a < b, and (id, c), the members of the classes."""
     spark = texts.sparkSession
-    n_words, fold = plan or next((w, f) for most, w, f in PLANS if texts.select("id").count() <= most)
+    n_words, fold = plan or PLAN
     split = F.filter(F.split(F.lower("text"), TOKEN), lambda x: x != "")
     hashed = F.transform(split, lambda x: F.shiftleft(F.shiftright(F.xxhash64(x), 1), 1) + F.when(F.length(x) >= LONG, 1).otherwise(0))
     described = (
