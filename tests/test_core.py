@@ -144,6 +144,32 @@ def test_pairs_agree_with_brute_force_for_any_tile(spark, tile):
     assert best["000"] == pytest.approx(max(s[0, j] for j in range(2, 60, 2)))
 
 
+def test_a_component_of_any_size_is_linked(spark):
+    many = shapes(spark, [(f"{k:04}", angle(0), {}) for k in range(3100)])
+    groups = groups_of(clustering.candidates(many, limit=False))
+    assert max(map(len, groups)) == 8 and sum(map(len, groups)) >= 3099 and len(set(sum(groups, []))) == sum(map(len, groups))
+
+
+def test_linkage_by_the_rule():
+    """Against the rule itself, all means anew for each merge."""
+    rng = np.random.default_rng(6)
+    for n in (2, 3, 8, 20, 40):
+        for levels in (2, 4, 1000):
+            s = np.triu(np.round(rng.random((n, n)) * levels) / levels, 1)
+            s = s + s.T
+            s[(apart := np.triu(rng.random((n, n)) < 0.1, 1)) | apart.T] = -np.inf
+            np.fill_diagonal(s, -np.inf)
+            groups = [[i] for i in range(n)]
+            while True:
+                mean = {(np.mean([s[x, y] for x in g for y in h]).round(9), i, j): 0 for i, g in enumerate(groups) for j, h in enumerate(groups) if i < j and len(g) + len(h) <= 8}
+                top, i, j = max(mean, default=(-1, 0, 0))
+                if top < 0.45 - 1e-9:
+                    break
+                groups[i] += groups[j]
+                del groups[j]
+            assert clustering.linkage(s, 0.45, 8) == [g for g in groups if len(g) > 1]
+
+
 def test_linkage_takes_the_last_of_tied_pairs():
     s = np.full((4, 4), -np.inf)
     for a, b in ((0, 1), (2, 3)):

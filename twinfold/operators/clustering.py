@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import heapq
+import tempfile
+
 import numpy as np
-import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text
@@ -12,8 +14,8 @@ from ..params import DEFAULTS, Params
 from ..runtime import stage
 from .similarity import similar_pairs
 
-#: Members of a component that linkage, cubic in them, accepts.
-MAX_COMPONENT = 3_000
+#: Members of a component up to which its similarities are held in memory; those of a larger one lie in a file.
+IN_MEMORY = 3_000
 
 
 def _sign(links: DataFrame) -> tuple:
@@ -47,46 +49,104 @@ def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     return links.select(F.col("u").alias("id"), F.col("v").alias("component")).unionByName(roots)
 
 
-def linkage(sims: np.ndarray, threshold: float, most: int) -> list[list[int]]:
-    """Groups of two or more: repeatedly the two groups of the largest mean similarity, the last pair of a tie."""
+def linkage(sims: np.ndarray, threshold: float, most: int, total: np.ndarray | None = None) -> list[list[int]]:
+    """Groups of two or more: repeatedly the two groups of the largest mean similarity, the last pair of a tie.
+
+    Each group holds its best partner behind it; what a merge makes worse is looked at again when it comes first, so
+    a merge costs one row, not the matrix. ``total``: a copy of ``sims`` to work in.
+    """
     n = len(sims)
-    groups = [[i] for i in range(n)]
-    total = sims.copy()  # sums of similarities between groups
-    np.fill_diagonal(total, -np.inf)
-    size = np.ones(n)
-    upper = np.triu(np.ones((n, n), bool), 1)
-    while len(groups) > 1:
-        mean = total / np.outer(size, size)
-        mean[~upper[: len(groups), : len(groups)] | (np.add.outer(size, size) > most)] = -np.inf
-        best = mean.max()
-        if not best >= threshold:
-            break
-        i, j = np.argwhere(mean == best)[-1]
+    total = sims.copy() if total is None else total  # sums of similarities between groups
+    groups: list[list[int]] = [[i] for i in range(n)]
+    size, live = np.ones(n), np.ones(n, bool)
+    held, partner, queue = np.full(n, -np.inf), np.full(n, -1), []
+
+    def means(i: int, some: slice) -> np.ndarray:
+        mean = total[i, some] / (size[i] * size[some])
+        mean[~live[some] | (size[i] + size[some] > most)] = -np.inf
+        return mean
+
+    def hold(i: int, mean: float, j: int) -> None:
+        held[i], partner[i] = mean, j
+        heapq.heappush(queue, (-mean, -i, -j))
+
+    def look(i: int) -> None:
+        mean = means(i, slice(i + 1, n))
+        top = mean.max(initial=-np.inf)
+        if top >= threshold:
+            hold(i, top, i + 1 + int(np.flatnonzero(mean == top)[-1]))
+        else:
+            held[i], partner[i] = -np.inf, -1
+
+    for i in range(n):
+        look(i)
+    while queue:
+        mean, i, j = (-x for x in heapq.heappop(queue))
+        if not live[i] or held[i] != mean or partner[i] != j:
+            continue
+        if not means(i, slice(j, j + 1))[0] == mean:
+            look(i)
+            continue
         groups[i] += groups[j]
-        total[i] += total[j]
-        total[:, i] += total[:, j]
-        total[i, i] = -np.inf
+        row = total[i] + total[j]
+        row[i] = -np.inf
+        total[i] = row
+        total[:, i] = row
         size[i] += size[j]
-        keep = np.arange(len(groups)) != j
-        groups, total, size = [g for k, g in enumerate(groups) if k != j], total[np.ix_(keep, keep)], size[keep]
-    return [g for g in groups if len(g) > 1]
-
-
-def _link_component(threshold: float, most: int):
-    def run(rows: pd.DataFrame) -> pd.DataFrame:
-        if len(rows) > MAX_COMPONENT:
-            raise ValueError(f"a component of {len(rows)} members: raise edge_floor, linkage takes {MAX_COMPONENT}")
-        rows = rows.sort_values("id").reset_index(drop=True)
-        index = {v: k for k, v in enumerate(rows["id"])}
-        sims = np.full((len(rows), len(rows)), -np.inf)
-        for k, near in enumerate(rows["near"]):
-            for x in near:
-                sims[k, index[x["id"]]] = sims[index[x["id"]], k] = x["similarity"]
-        out = []
-        for group in linkage(sims, threshold, most):
-            inner = [sims[x, y] for n, x in enumerate(group) for y in group[n + 1 :]]
-            out.append((sorted(rows["id"].iloc[group]), float(np.mean(inner))))
-        return pd.DataFrame(out, columns=["member_ids", "cohesion"])
+        live[j] = False
+        look(i)
+        before = means(i, slice(0, i))
+        better = (before >= threshold) & ((before > held[:i]) | ((before == held[:i]) & (i > partner[:i])))
+        for k in np.flatnonzero(better).tolist():
+            hold(k, float(before[k]), i)
+    return [g for k, g in enumerate(groups) if live[k] and len(g) > 1]
+
+
+def _square(n: int) -> np.ndarray:
+    """An n x n matrix of -inf; a large one lies in a file that vanishes with it."""
+    if n <= IN_MEMORY:
+        return np.full((n, n), -np.inf)
+    with tempfile.TemporaryFile() as file:
+        out = np.memmap(file, np.float64, "w+", shape=(n, n))
+    for start in range(0, n, 1000):
+        out[start : start + 1000] = -np.inf
+    return out
+
+
+def _link_components(threshold: float, most: int):
+    """Pairs sorted by component come in; a component is never held as rows, only as its matrix."""
+
+    def linked(component, kind, sims: np.ndarray):
+        import pyarrow as pa
+
+        total = _square(len(sims))
+        for start in range(0, len(sims), 1000):
+            total[start : start + 1000] = sims[start : start + 1000]
+        number, at, cohesion = [], [], []
+        for k, group in enumerate(linkage(sims, threshold, most, total)):
+            inner = float(np.mean([sims[x, y] for n, x in enumerate(group) for y in group[n + 1 :]]))
+            number += [k] * len(group)
+            at += group
+            cohesion += [inner] * len(group)
+        names = pa.array([component] * len(at), kind)
+        return pa.RecordBatch.from_arrays([names, pa.array(number, pa.int32()), pa.array(at, pa.int32()), pa.array(cohesion, pa.float64())], names=["component", "number", "at", "cohesion"]) if at else None
+
+    def run(batches):
+        component = sims = None
+        for batch in batches:
+            names = batch.column(0).to_pylist()
+            sizes, x, y, value = (batch.column(k).to_numpy() for k in range(1, 5))
+            cuts = [0, *(k for k in range(1, len(names)) if names[k] != names[k - 1]), len(names)]
+            for a, b in zip(cuts[:-1], cuts[1:]):
+                if a == b:
+                    continue
+                if sims is None or names[a] != component:
+                    if sims is not None and (out := linked(component, batch.schema.field(0).type, sims)) is not None:
+                        yield out
+                    component, sims = names[a], _square(int(sizes[a]))
+                sims[x[a:b], y[a:b]] = sims[y[a:b], x[a:b]] = value[a:b]
+        if sims is not None and (out := linked(component, batch.schema.field(0).type, sims)) is not None:
+            yield out
 
     return run
 
@@ -103,10 +163,14 @@ def candidates(rows: DataFrame, params: Params = DEFAULTS, limit: bool = True) -
     inside = rows.join(member, "id").withColumn("block", F.col("component"))
     every = stage(similar_pairs(inside.drop("component"), -2.0), "cand-every")
     kind = rows.schema["id"].dataType.simpleString()
-    near_of = every.groupBy(F.col("a").alias("id")).agg(F.collect_list(F.struct(F.col("b").alias("id"), "similarity")).alias("near"))
-    empty = F.array().cast(f"array<struct<id:{kind},similarity:double>>")
-    grouped = member.join(near_of, "id", "left").select("component", "id", F.coalesce("near", empty).alias("near"))
-    groups = grouped.groupBy("component").applyInPandas(_link_component(params.merge_threshold, params.max_cluster_size), f"member_ids array<{kind}>, cohesion double")
+    of = Window.partitionBy("component")
+    place = member.select("id", "component", (F.row_number().over(of.orderBy("id")) - 1).alias("at"), F.count(F.lit(1)).over(of).cast("int").alias("n"))
+    place = stage(place, "cand-places")
+    pairs = every.join(place.select(F.col("id").alias("a"), "component", "n", F.col("at").alias("x")), "a").join(place.select(F.col("id").alias("b"), F.col("at").alias("y")), "b")
+    pairs = pairs.select("component", "n", "x", "y", "similarity").repartition("component").sortWithinPartitions("component")
+    linked = pairs.mapInArrow(_link_components(params.merge_threshold, params.max_cluster_size), f"component {kind}, number int, at int, cohesion double")
+    groups = linked.join(place, ["component", "at"]).groupBy("component", "number").agg(F.array_sort(F.collect_list("id")).alias("member_ids"), F.first("cohesion").alias("cohesion"))
+    groups = groups.select("member_ids", "cohesion")
     groups = stage(groups, "cand-groups")
     modules = groups.select("member_ids", F.explode("member_ids").alias("id")).join(rows.select("id", "file"), "id")
     modules = modules.groupBy("member_ids").agg(F.countDistinct(F.coalesce(text.module_of(F.col("file")), F.lit("."))).alias("module_count"))
