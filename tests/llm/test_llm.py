@@ -246,6 +246,19 @@ def test_anchors_do_not_depend_on_the_number_of_texts(spark, monkeypatch):
     assert len(seen) == 1
 
 
+def test_sketch_lets_true_pairs_pass():
+    import pyarrow as pa
+
+    rng, n = np.random.default_rng(8), 2000
+    first = rng.integers(0, 2, (n, 128), dtype=np.uint8)
+    other = first ^ (rng.random((n, 128)) < 0.2)
+    s0, s1 = (np.packbits(np.stack([first, other], 1), axis=2).reshape(2 * n, 16).view(np.int64)[:, k] for k in (0, 1))
+    anchor, home = np.arange(2 * n) // 2, np.arange(2 * n) % 2 == 0
+    columns = [pa.array(anchor), pa.array(np.zeros(2 * n, np.int32)), pa.array(home), pa.array(np.arange(2 * n)), pa.array(s0), pa.array(s1)]
+    batch = pa.RecordBatch.from_arrays(columns, names=["anchor", "slice", "home", "c", "s0", "s1"])
+    assert sum(b.num_rows for b in near_duplicates._compare([batch])) >= 0.99 * n
+
+
 def test_near_duplicate_edge_cases(spark):
     rows = [("a", "f(x)", "one two three four"), ("b", "F(X)", "One  two; three four"), ("c", None, "a b"), ("d", None, "a b"), ("e", "", None), (None, "f(x)", "one two three four"), ("a", "f(x)", "one two three four")]
     df = spark.createDataFrame([(*r, None, "x") for r in rows], "function_id string, signature string, body string, updated_at timestamp, text string")

@@ -40,8 +40,8 @@ THRESHOLD = 1
 #: Words of a fingerprint, and words that form one anchor's name: the same at all sizes, so that no pair is lost by
 #: other texts coming in. Comparisons a text grow with the number of texts.
 PLAN = (6, 1)
-#: Bits of the sketch and how many may differ.
-SKETCH, SKETCH_DIFFER = 128, 33
+#: Bits of the sketch and how many may differ: where a fifth of the bits differs in expectation, 0.998 pass.
+SKETCH, SKETCH_DIFFER = 128, 39
 #: Length from which a token takes part in every hash function, and in how many others one of the rest does.
 LONG, SHORT_SHARE = 8, 8
 #: Homes of an anchor from which it is split.
