@@ -193,6 +193,14 @@ def test_spectral_clusters(spark):
     assert about["0001-0"].cohesion == pytest.approx(np.mean(inner), abs=1e-5)
 
 
+def test_unrelated_groups_in_one_cell_stay_apart(spark, monkeypatch):
+    from pyspark.sql import functions as F
+
+    monkeypatch.setattr(spectral, "_start", lambda node, k: F.lit(0.5))
+    got = {r.function_id: r.cluster_key for r in spectral.found(vectors(spark, families(8, 4))).collect()}
+    assert got == {f"{f:04}-{k}": f"{f:04}-0" for f in range(8) for k in range(4)}
+
+
 def test_vectors_of_an_empty_table(spark):
     assert vector_search.found(vectors(spark, [])).count() == 0
     assert spectral.found(vectors(spark, [])).count() == 0

@@ -5,7 +5,8 @@ The affinities are the cosines of at least ``MIN_COSINE`` (sparse, found by the
 starting values are multiplied by this matrix until they stand still; within a group of mutually similar vectors all
 values become equal, between groups they differ. The rows of this embedding are clustered by k-means: seeds are the
 occupied cells of a fine grid, a seed close to a heavier one gives way, points go to the nearest seed. A last exact
-check joins clusters between which an affinity remains (groups too stretched to have come to rest).
+check splits clusters whose parts have no affinity (groups that came into one cell by chance) and joins clusters
+between which one remains (groups too stretched to have come to rest).
 
 Equal vectors are one class, weighted by its members, so copies cost nothing.
 
@@ -95,11 +96,27 @@ def kmeans(points: DataFrame) -> DataFrame:
     return own.join(best, "i", "left").select("i", F.coalesce("label", "own").alias("label"))
 
 
+def split(pairs: DataFrame, labels: DataFrame) -> DataFrame:
+    """(i, label): each label that the affinities inside it don't connect is replaced by labels of its parts (negative, so new).
+
+    A label with a point that has an affinity to all others is connected; only the rest is looked at closer.
+    """
+    inner = pairs.join(labels.select(F.col("i").alias("a"), "label"), "a").join(labels.select(F.col("i").alias("b"), F.col("label").alias("lb")), "b")
+    inner = stage(inner.where(F.col("label") == F.col("lb")).select("a", "b", "label"), "p2-inner")
+    ends = inner.select("label", F.col("a").alias("i")).unionByName(inner.select("label", F.col("b").alias("i")))
+    most = ends.groupBy("label", "i").agg(F.count(F.lit(1)).alias("n")).groupBy("label").agg(F.max("n").alias("most"))
+    sizes = labels.groupBy("label").agg(F.count(F.lit(1)).alias("size")).where("size > 1")
+    doubtful = stage(sizes.join(most, "label", "left").where(F.coalesce("most", F.lit(0)) < F.col("size") - 1).select("label", F.lit(True).alias("doubtful")), "p2-doubtful")
+    parts = match_groups.groups(inner.join(doubtful, "label", "left_semi").select("a", "b")).select(F.col("vertex").alias("i"), "group_id")
+    placed = labels.join(doubtful, "label", "left").join(parts, "i", "left")
+    return placed.select("i", F.when(F.col("doubtful"), F.bitwise_not(F.coalesce("group_id", "i"))).otherwise(F.col("label")).alias("label"))
+
+
 def class_clusters(pairs: DataFrame) -> DataFrame:
     """(c, label) of the classes that have an affinity."""
     links = stage(affinities(pairs), "p2-links")
     hot = stage(hot_keys(links, "j"), "p2-hot")
-    labels = stage(kmeans(iterate(links, hot)), "p2-labels")
+    labels = stage(split(pairs, stage(kmeans(iterate(links, hot)), "p2-cells")), "p2-labels")
     across = pairs.join(labels.select(F.col("i").alias("a"), F.col("label").alias("la")), "a").join(labels.select(F.col("i").alias("b"), F.col("label").alias("lb")), "b")
     across = across.where("la <> lb").select(F.col("la").alias("a"), F.col("lb").alias("b"))
     merged = match_groups.groups(across).select(F.col("vertex").alias("label"), "group_id")
