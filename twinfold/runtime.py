@@ -10,6 +10,8 @@ from pyspark.sql import functions as F
 
 #: Rows of one key that a single task may be asked to handle before the key is split.
 HOT_ROWS = 50_000
+#: Entries of a list of hot keys up to which it is broadcast, and copies of a longer one.
+HOT_SHIPPED, HOT_COPIES = 100_000, 64
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -31,17 +33,39 @@ def _delete_on_exit(spark: SparkSession, path: str) -> None:
     where.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(where)
 
 
+#: Lets Spark delete an execution's shuffle files when it ends.
+_CLEAN = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
 def stage(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` to the shared folder and read it back.
 
     It cuts lineage, survives the loss of any executor, is columnar (later column pruning still works)
-    and gives the planner true sizes for its join choices.
+    and gives the planner true sizes for its join choices. The shuffle files of the write go when it ends: nothing
+    reads them again. :func:`free` deletes the table once what was made of it is staged.
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/stage-{name}-{uuid.uuid4().hex[:12]}"
-    df.write.parquet(path)
+    before = spark.conf.get(_CLEAN, "false")
+    spark.conf.set(_CLEAN, "true")
+    try:
+        df.write.parquet(path)
+    finally:
+        spark.conf.set(_CLEAN, before)
     _delete_on_exit(spark, path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._staged_at = path
+    return out
+
+
+def free(*staged: DataFrame | None) -> None:
+    """Delete staged tables that nothing unfinished reads; anything else is left alone."""
+    for df in staged:
+        path = df.__dict__.get("_staged_at") if df is not None else None
+        if path:
+            where = df.sparkSession._jvm.org.apache.hadoop.fs.Path(path)
+            where.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(where, True)
+            del df._staged_at
 
 
 def width(spark: SparkSession) -> int:
@@ -68,11 +92,23 @@ def salted_lookup(
     """Join ``rows`` to ``lookup`` (one row per key) so that a hot key is spread over several tasks.
 
     ``spread`` is any well-mixed hash of the row. Cold keys have one slice; a hot key's lookup row is copied
-    once per slice. ``hot`` may be given if :func:`hot_keys` of these rows is known already. The list holds at
-    most rows/threshold entries; it is left to the planner's size threshold whether it is broadcast.
+    once per slice. ``hot`` may be given if :func:`hot_keys` of these rows is known already (a staged table, as it is
+    read three times). It holds at most rows/threshold entries. Up to ``HOT_SHIPPED`` of them are broadcast, so that
+    the rows of a hot key never meet in one task; beyond, each row gets its slice from a hash of its own and joins the
+    copies of the list, one for each of ``HOT_COPIES``.
     """
     hot = stage(hot_keys(rows, key, threshold), "hot") if hot is None else hot
+    n_hot = hot.__dict__.get("_rows")
+    if n_hot is None:
+        n_hot = hot._rows = hot.count()
+    if not n_hot:
+        return rows.join(lookup, key, how)
     slices = F.coalesce(F.col("_slices"), F.lit(1))
-    left = rows.join(hot, key, "left").withColumn("_slice", F.pmod(spread, slices).cast("int")).drop("_slices")
-    right = lookup.join(hot, key, "left").withColumn("_slice", F.explode(F.sequence(F.lit(0), slices - 1))).drop("_slices")
+    if n_hot <= HOT_SHIPPED:
+        left = rows.join(F.broadcast(hot), key, "left")
+    else:
+        copies = hot.withColumn("_copy", F.explode(F.sequence(F.lit(0), F.lit(HOT_COPIES - 1))))
+        left = rows.withColumn("_copy", F.pmod(spread, F.lit(HOT_COPIES)).cast("int")).join(copies, [key, "_copy"], "left").drop("_copy")
+    left = left.withColumn("_slice", F.pmod(spread, slices).cast("int")).drop("_slices")
+    right = lookup.join(F.broadcast(hot) if n_hot <= HOT_SHIPPED else hot, key, "left").withColumn("_slice", F.explode(F.sequence(F.lit(0), slices - 1))).drop("_slices")
     return left.join(right, [key, "_slice"], how).drop("_slice")
