@@ -160,6 +160,52 @@ def test_recall_does_not_fall_with_levels(spark, cosine, leaf):
     assert vector_search.similar_pairs(points, leaf=leaf).count() >= 0.99 * 1500
 
 
+def test_splits_fit_their_nodes_at_any_depth(spark):
+    rows = families(400, 5, seed=6, spread=0.2)  # crowded: medians of whole levels would be far off
+    points, _ = vector_search.classes(vector_search.usable(vectors(spark, rows)))
+    n = points.count()
+    forest = vector_search.build(points, n, 2, 1, 10)
+    unit = np.array([r[1] for r in rows], np.float32)
+    unit /= np.linalg.norm(unit, axis=1, keepdims=True)
+    leaves = np.bincount(forest.down(0, unit @ forest.directions[0], 9))[1 << 9 :]
+    assert leaves.max() <= 5 * n / (1 << 9)
+
+
+def test_crowded_leaves_are_sliced(spark, monkeypatch):
+    rows = families(30, 10, seed=7)
+    points, _ = vector_search.classes(vector_search.usable(vectors(spark, rows)))
+    plain = {(r.a, r.b) for r in vector_search.similar_pairs(points, leaf=150).collect()}
+    monkeypatch.setattr(vector_search, "HOT_LEAF", 0.3)
+    assert {(r.a, r.b) for r in vector_search.similar_pairs(points, leaf=150).collect()} == plain
+
+
+@pytest.mark.parametrize("leaf", [1400, 60])
+def test_k_nearest_of_crowded_groups(spark, monkeypatch, leaf):
+    rows = families(40, 16, seed=8)
+    monkeypatch.setattr(vector_search.search, "__defaults__", (None, leaf, None))
+    got = {tuple(r) for r in vector_search.found(vectors(spark, rows)).collect()}
+    truth = brute(rows)
+    assert len(got & truth) >= 0.98 * len(truth)
+
+
+def test_nearest_without_a_least_cosine(spark, monkeypatch):
+    rows = [(f"6a00{k:08x}4e71d2a9ffff", *r[1:]) for k, r in enumerate(families(250, 2, seed=9))]
+    x = np.array([r[1] for r in rows])
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    s = x @ x.T
+    np.fill_diagonal(s, -2)
+    for leaf in (1400, 40):
+        monkeypatch.setattr(vector_search.search, "__defaults__", (None, leaf, None))
+        got = {}
+        for r in vector_search.nearest(vectors(spark, rows)).collect():
+            got.setdefault(r.function_id, {})[r.place] = r.neighbour_id
+        assert set(got) == {rows[k][0] for k in range(0, 500, 50)} and all(set(g) == {1, 2, 3, 4, 5} for g in got.values())
+        hits = sum(len(set(got[rows[k][0]].values()) & {rows[j][0] for j in np.argsort(-s[k])[:5]}) for k in range(0, 500, 50))
+        assert hits >= 0.95 * 50
+    few = vectors(spark, rows[:3])
+    assert vector_search.nearest(few).count() == 2 and vector_search.nearest(few.limit(0)).count() == 0
+
+
 def test_copies_of_one_vector_stay_linear(spark):
     rows = families(1, 1) * 1
     rows = [(f"{k:03}", rows[0][1], *rows[0][2:]) for k in range(60)]

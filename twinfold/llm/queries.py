@@ -45,6 +45,10 @@ def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return vector_search.found(_table(spark, sf_dir, "repo_function"))
 
 
+def p5_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vector_search.nearest(_table(spark, sf_dir, "repo_function"))
+
+
 def p6_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates.found(_table(spark, sf_dir, "repo_function"))
 
@@ -61,7 +65,7 @@ def p9_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return subjects.found(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "subject_area"), _table(spark, sf_dir, "subject_label"))
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_copies, p2_found, p2_clusters, p3_found, p4_found, p5_found, p6_found, p7_ids, p8_containers, p9_found)}
+QUERIES = {f.__name__: f for f in (p1_found, p1_copies, p2_found, p2_clusters, p3_found, p4_found, p5_found, p5_nearest, p6_found, p7_ids, p8_containers, p9_found)}
 
 _P3_SQL = r"""
 WITH RECURSIVE l AS (
@@ -85,8 +89,9 @@ r AS (SELECT record_id, body, from_json(attrs, {_FIELDS}) AS a FROM cache_record
 g AS (SELECT record_id, min(record_id) OVER (PARTITION BY {_plain("body")}, {_plain("a.name")}, {_plain("a.file")}, {_plain("a.signature")}, {_plain("a.returnTypeText")},
   list_transform(a.params, lambda x: {_plain("x")}), list_transform(a.imports, lambda x: {_plain("x")}), a.isExported, a.callsExternal, a.isPure) AS keep_id FROM r)"""
 
-_VECTORS = """u AS (SELECT function_id AS id, embedding AS v FROM repo_function WHERE embed_version = 'intent-v3' AND len(embedding) = 96 AND list_sum([abs(x) for x in embedding]) > 0
-  QUALIFY row_number() OVER (PARTITION BY function_id ORDER BY updated_at DESC) = 1),
+_USABLE = """u AS (SELECT function_id AS id, embedding AS v FROM repo_function WHERE embed_version = 'intent-v3' AND len(embedding) = 96 AND list_sum([abs(x) for x in embedding]) > 0
+  QUALIFY row_number() OVER (PARTITION BY function_id ORDER BY updated_at DESC) = 1)"""
+_VECTORS = _USABLE + """,
 s AS (SELECT a.id AS a, b.id AS b, list_cosine_similarity(a.v, b.v) AS c FROM u a JOIN u b ON a.id <> b.id WHERE list_cosine_similarity(a.v, b.v) >= 0.80)"""
 
 _P6_SQL = r"""
@@ -104,5 +109,8 @@ ORACLE_SQL = {
     "p2_found": f"WITH RECURSIVE {_VECTORS}, w AS (SELECT a AS v, a AS w FROM s UNION SELECT w.v, s.b FROM w JOIN s ON w.w = s.a) SELECT min(w) AS cluster_key, v AS function_id FROM w GROUP BY v",
     "p3_found": _P3_SQL,
     "p5_found": f"WITH {_VECTORS}, k AS (SELECT * FROM s QUALIFY row_number() OVER (PARTITION BY a ORDER BY round(c, 12) DESC, b) <= 5) SELECT DISTINCT least(a, b) AS function_a, greatest(a, b) AS function_b FROM k",
+    "p5_nearest": f"""WITH {_USABLE}, c AS (SELECT a.id AS function_id, b.id AS neighbour_id, list_cosine_similarity(a.v, b.v) AS c FROM u a JOIN u b ON a.id <> b.id
+  WHERE ('0x' || substr(a.id, 5, 8))::BIGINT % 50 = 0)
+SELECT function_id, neighbour_id, row_number() OVER (PARTITION BY function_id ORDER BY round(c, 12) DESC, neighbour_id) AS place FROM c QUALIFY place <= 5""",
     "p6_found": _P6_SQL,
 }
