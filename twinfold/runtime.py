@@ -86,29 +86,41 @@ def hot_keys(rows: DataFrame, key: str, threshold: int = HOT_ROWS) -> DataFrame:
     )
 
 
+def with_slices(rows: DataFrame, hot: DataFrame, key: str, spread: Column) -> DataFrame:
+    """``rows`` with ``_slices``, the number of slices of their key, null where the key isn't hot.
+
+    ``hot`` is a staged list of :func:`hot_keys`. Up to ``HOT_SHIPPED`` entries are broadcast, so that the rows of a hot
+    key never meet in one task; of a longer list each row joins one of ``HOT_COPIES`` copies, by ``spread``.
+    """
+    n_hot = _count(hot)
+    if not n_hot:
+        return rows.withColumn("_slices", F.lit(None).cast("int"))
+    if n_hot <= HOT_SHIPPED:
+        return rows.join(F.broadcast(hot), key, "left")
+    copies = hot.withColumn("_copy", F.explode(F.sequence(F.lit(0), F.lit(HOT_COPIES - 1))))
+    return rows.withColumn("_copy", F.pmod(spread, F.lit(HOT_COPIES)).cast("int")).join(copies, [key, "_copy"], "left").drop("_copy")
+
+
+def _count(hot: DataFrame) -> int:
+    if hot.__dict__.get("_rows") is None:
+        hot._rows = hot.count()
+    return hot._rows
+
+
 def salted_lookup(
     rows: DataFrame, lookup: DataFrame, key: str, spread: Column, threshold: int = HOT_ROWS, how: str = "inner", hot: DataFrame | None = None
 ) -> DataFrame:
     """Join ``rows`` to ``lookup`` (one row per key) so that a hot key is spread over several tasks.
 
     ``spread`` is any well-mixed hash of the row. Cold keys have one slice; a hot key's lookup row is copied
-    once per slice. ``hot`` may be given if :func:`hot_keys` of these rows is known already (a staged table, as it is
-    read three times). It holds at most rows/threshold entries. Up to ``HOT_SHIPPED`` of them are broadcast, so that
-    the rows of a hot key never meet in one task; beyond, each row gets its slice from a hash of its own and joins the
-    copies of the list, one for each of ``HOT_COPIES``.
+    once per slice. ``hot`` may be given if :func:`hot_keys` of these rows is known already (staged, as it is read
+    three times). It holds at most rows/threshold entries.
     """
     hot = stage(hot_keys(rows, key, threshold), "hot") if hot is None else hot
-    n_hot = hot.__dict__.get("_rows")
-    if n_hot is None:
-        n_hot = hot._rows = hot.count()
-    if not n_hot:
+    if not _count(hot):
         return rows.join(lookup, key, how)
     slices = F.coalesce(F.col("_slices"), F.lit(1))
-    if n_hot <= HOT_SHIPPED:
-        left = rows.join(F.broadcast(hot), key, "left")
-    else:
-        copies = hot.withColumn("_copy", F.explode(F.sequence(F.lit(0), F.lit(HOT_COPIES - 1))))
-        left = rows.withColumn("_copy", F.pmod(spread, F.lit(HOT_COPIES)).cast("int")).join(copies, [key, "_copy"], "left").drop("_copy")
-    left = left.withColumn("_slice", F.pmod(spread, slices).cast("int")).drop("_slices")
-    right = lookup.join(F.broadcast(hot) if n_hot <= HOT_SHIPPED else hot, key, "left").withColumn("_slice", F.explode(F.sequence(F.lit(0), slices - 1))).drop("_slices")
+    left = with_slices(rows, hot, key, spread).withColumn("_slice", F.pmod(spread, slices).cast("int")).drop("_slices")
+    right = lookup.join(F.broadcast(hot) if _count(hot) <= HOT_SHIPPED else hot, key, "left")
+    right = right.withColumn("_slice", F.explode(F.sequence(F.lit(0), slices - 1))).drop("_slices")
     return left.join(right, [key, "_slice"], how).drop("_slice")
