@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..runtime import HOT_ROWS, stage
+from ..runtime import HOT_ROWS, hot_keys, salted_lookup, stage, with_slices
 
 #: What a copy may differ by, beside white space and letter case.
 IGNORED = "'\"`;,"
@@ -74,24 +74,24 @@ def membership(records: DataFrame, id_col: str = "record_id", text_col: str = "b
     keyed = records.where(F.col(id_col).isNotNull()).select(F.col(id_col).alias("record_id"), F.unhex(key).alias("_key"))
     keyed = stage(keyed, "p1-keys")
 
-    counts = keyed.groupBy("_key").agg(F.count(F.lit(1)).alias("_n"))
-    hot = stage(counts.where(F.col("_n") > hot_rows).select("_key", F.ceil(F.col("_n") / hot_rows).cast("int").alias("_slices")), "p1-hot")
-
+    hot = stage(hot_keys(keyed, "_key", hot_rows), "p1-hot")
+    keyed = with_slices(keyed, hot, "_key", F.xxhash64("record_id"))
     cold = (
-        keyed.join(hot, "_key", "left_anti")
+        keyed.where(F.col("_slices").isNull())
         .groupBy("_key")
         .agg(F.min("record_id").alias("keep_id"), F.collect_set("record_id").alias("_ids"))
         .select("keep_id", F.explode("_ids").alias("record_id"))
     )
     first = stage(
-        keyed.join(hot, "_key")
+        keyed.where(F.col("_slices").isNotNull())
         .withColumn("_slice", F.pmod(F.xxhash64("record_id"), F.col("_slices")))
         .groupBy("_key", "_slice")
         .agg(F.min("record_id").alias("_low"), F.collect_set("record_id").alias("_ids")),
         "p1-hot-first",
     )
     second = first.groupBy("_key").agg(F.min("_low").alias("keep_id"))
-    heavy = first.join(second, "_key").select("keep_id", F.explode("_ids").alias("record_id"))
+    # the slices of a hot key meet its representative in as many tasks as it has slices
+    heavy = salted_lookup(first.withColumnRenamed("_slice", "_part"), second, "_key", F.xxhash64("_part"), hot=hot).select("keep_id", F.explode("_ids").alias("record_id"))
     return cold.unionByName(heavy)
 
 

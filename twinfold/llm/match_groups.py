@@ -1,6 +1,6 @@
 """Problem 3: pairwise matches consolidated into groups by low-diameter decomposition.
 
-One round: every vertex draws an exponential head start, truncated at ``radius``; clusters grow from the shifted
+One round: every vertex draws an exponential head start, drawn again if it exceeds ``RADIUS``; clusters grow from the shifted
 start times, so a vertex joins the centre that reaches it first. With head starts of at most ``radius`` the winning
 centre is at most that many links away, so ``radius`` relaxations give the decomposition exactly. Clusters contract
 to super-vertices, the next round runs on the links between clusters, and the assignments are composed backwards.
@@ -14,18 +14,21 @@ Defined results
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..runtime import HOT_ROWS, hot_keys, salted_lookup, stage
+from ..runtime import HOT_ROWS, free, hot_keys, salted_lookup, stage
 
 #: The rate of the head starts and where they are cut off, in links.
 BETA, RADIUS = 0.3, 6
 
 
 def _head_start(vertex: Column, turn: int) -> Column:
+    """Exponential under the condition that it is less than ``RADIUS``, as if longer ones were drawn again."""
     uniform = (F.pmod(F.xxhash64(vertex, F.lit(turn)), F.lit(1 << 40)) + F.lit(0.5)) / float(1 << 40)
-    return F.least(-F.log(uniform) / BETA, F.lit(float(RADIUS)))
+    return -F.log(1 - uniform * (1 - math.exp(-BETA * RADIUS))) / BETA
 
 
 def _decompose(links: DataFrame, hot: DataFrame, turn: int) -> DataFrame:
@@ -51,14 +54,18 @@ def groups(links: DataFrame, a: str = "a", b: str = "b", max_rounds: int = 60, h
         if len(levels) == max_rounds:
             raise RuntimeError(f"links remain after {max_rounds} rounds")
         hot = stage(hot_keys(edges, "s", hot_rows), "p3-hot")
+        hot._rows = hot.count()
         cluster = _decompose(edges, hot, len(levels))
         # the smallest original vertex within every super-vertex
         own = cluster.withColumn("low", F.col("v")) if not levels else cluster.join(levels[-1][1].select(F.col("centre").alias("v"), "low"), "v")
         levels.append((cluster, stage(own.groupBy("centre").agg(F.min("low").alias("low"), F.count(F.lit(1)).alias("_n")), "p3-low")))
         moved = salted_lookup(edges, cluster.select(F.col("v").alias("s"), F.col("centre").alias("cs")), "s", F.xxhash64("t"), hot=hot)
         hot_t = hot.withColumnRenamed("s", "t")  # the links are symmetric
+        hot_t._rows = hot._rows
         moved = salted_lookup(moved, cluster.select(F.col("v").alias("t"), F.col("centre").alias("ct")), "t", F.xxhash64("s"), hot=hot_t)
-        edges = stage(moved.where("cs <> ct").select(F.col("cs").alias("s"), F.col("ct").alias("t")).distinct(), "p3-between")
+        between = stage(moved.where("cs <> ct").select(F.col("cs").alias("s"), F.col("ct").alias("t")).distinct(), "p3-between")
+        free(edges, hot)
+        edges = between
     if not levels:
         return edges.select(F.col("s").alias("vertex"), F.col("t").alias("group_id"))
     above = None
@@ -67,7 +74,7 @@ def groups(links: DataFrame, a: str = "a", b: str = "b", max_rounds: int = 60, h
         answer = low.select("centre", F.col("low").alias("group_id"))
         if above is not None:
             answer = low.join(above.select(F.col("v").alias("centre"), "group_id"), "centre", "left").select("centre", F.coalesce("group_id", "low").alias("group_id"))
-        hot = low.where(F.col("_n") > hot_rows).select("centre", F.ceil(F.col("_n") / hot_rows).cast("int").alias("_slices"))
+        hot = stage(low.where(F.col("_n") > hot_rows).select("centre", F.ceil(F.col("_n") / hot_rows).cast("int").alias("_slices")), "p3-hot")
         above = salted_lookup(cluster, answer, "centre", F.xxhash64("v"), hot=hot).select("v", "group_id")
         if k + 1 < len(levels):
             above = stage(above, "p3-above")

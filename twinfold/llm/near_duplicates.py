@@ -29,7 +29,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..runtime import salted_lookup, stage, width
+from ..runtime import free, salted_lookup, stage, width
 from .vector_search import bytes_column, fixed_bytes, runs
 
 TOKEN, RUN, LIKE = "[^a-z0-9_$]+", 3, 0.60
@@ -46,6 +46,8 @@ SKETCH, SKETCH_DIFFER = 128, 39
 LONG, SHORT_SHARE = 8, 8
 #: Homes of an anchor from which it is split.
 HOT_HOMES = 4_000
+#: Members of a class that one task expands with others.
+TASK_MEMBERS = 2_000
 
 
 @lru_cache(maxsize=1)
@@ -250,12 +252,14 @@ def near_pairs(texts: DataFrame, like: float = LIKE, plan: tuple[int, int] | Non
     described = stage(described, "p6-described")
     latest = described.groupBy("id").agg(F.max_by("k", F.struct("_at", "k")).alias("k"))
     points = stage(described.groupBy("k").agg(F.min("row").alias("c"), F.first("mark").alias("mark")), "p6-points")
-    members = stage(salted_lookup(stage(latest, "p6-latest"), points.select("k", "c"), "k", F.xxhash64("id")).select("id", "c"), "p6-members")
+    latest = stage(latest, "p6-latest")
+    members = stage(salted_lookup(latest, points.select("k", "c"), "k", F.xxhash64("id")).select("id", "c"), "p6-members")
+    free(latest)
 
     spread = points.select("c", "mark").repartition(width(spark))
     homes = spread.mapInArrow(_anchors(n_words, fold, None, True), "anchor long").groupBy("anchor").agg(F.count(F.lit(1)).alias("_n"))
-    # the hottest 100,000 at most are split: a bound on what is shipped, far above what can be that hot
-    hot = homes.where(F.col("_n") > HOT_HOMES).orderBy(F.col("_n").desc()).limit(100_000).collect()
+    # all hot anchors: at most n_words / fold * 4096**fold exist, and at most texts * n_words / HOT_HOMES are hot
+    hot = homes.where(F.col("_n") > HOT_HOMES).collect()
     hot = spark.sparkContext.broadcast({r["anchor"]: -(-r["_n"] // HOT_HOMES) for r in hot})
     parts = max(width(spark), points.count() * n_words // 60_000)
     met = (
@@ -274,14 +278,47 @@ def near_pairs(texts: DataFrame, like: float = LIKE, plan: tuple[int, int] | Non
     return pairs, members
 
 
-def found(functions: DataFrame) -> DataFrame:
-    """(``function_a``, ``function_b``): each pair of different functions once, the smaller identifier first."""
+def _texts(functions: DataFrame) -> DataFrame:
     text = F.concat(F.coalesce("signature", F.lit("")), F.lit("\n"), F.coalesce("body", F.lit("")))
-    pairs, members = near_pairs(functions.select(F.col("function_id").alias("id"), text.alias("text"), F.col("updated_at").alias("_at")))
-    x, y = members.select(F.col("id").alias("x"), F.col("c").alias("a")), members.select(F.col("id").alias("y"), F.col("c").alias("b"))
-    across = pairs.select("a", "b").join(x, "a").join(y, "b")
-    within = members.groupBy("c").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("c")
-    within = members.join(within, "c", "left_semi")
-    within = within.select("c", F.col("id").alias("x")).join(within.select("c", F.col("id").alias("y")), "c").where("x < y")
-    both = across.select("x", "y").unionByName(within.select("x", "y"))
+    return functions.select(F.col("function_id").alias("id"), text.alias("text"), F.col("updated_at").alias("_at"))
+
+
+def found(functions: DataFrame, task_members: int = TASK_MEMBERS) -> DataFrame:
+    """(``function_a``, ``function_b``): each pair of different functions once, the smaller identifier first.
+
+    The members of a class are dealt into slices of ``task_members``, and a pair of classes is expanded by slices, so
+    that no task expands a class with all others of a large one.
+    """
+    pairs, members = near_pairs(_texts(functions))
+    pairs = stage(pairs.select("a", "b"), "p6-pairs")
+    sizes = members.groupBy("c").agg(F.count(F.lit(1)).alias("n"))
+    slices = F.ceil(F.col("n") / task_members).cast("int")
+    own = stage(sizes.where("n > 1").select("c", "n", slices.alias("s")), "p6-sizes")
+    several = own.where("s > 1").select("c", "s")  # at most members / task_members rows
+    dealt = members.join(several, "c", "left").select("id", "c", F.pmod(F.xxhash64("id"), F.coalesce("s", F.lit(1))).cast("int").alias("k"))
+    part = F.explode(F.sequence(F.lit(0), F.coalesce("s", F.lit(1)) - 1))
+
+    def met(rows: DataFrame) -> DataFrame:
+        """Pairs of members for (a, b), pairs of classes or a class with itself."""
+        for end, name in (("a", "x"), ("b", "y")):
+            parts = rows.join(several.withColumnRenamed("c", end), end, "left").withColumn("k", part).drop("s")
+            rows = parts.join(dealt.select(F.col("id").alias(name), F.col("c").alias(end), "k"), [end, "k"]).drop("k")
+        return rows.select("x", "y")
+
+    both = met(pairs).unionByName(met(own.select(F.col("c").alias("a"), F.col("c").alias("b"))).where("x < y"))
     return both.select(F.least("x", "y").alias("function_a"), F.greatest("x", "y").alias("function_b"))
+
+
+def classes(functions: DataFrame) -> DataFrame:
+    """(``function_id``, ``class_id``, ``n_members``, ``n_links``): one row a text with runs.
+
+    A class holds the texts with the same runs and is named by its smallest identifier; ``n_links`` counts the texts
+    outside of the class that are near duplicates of its members.
+    """
+    pairs, members = near_pairs(_texts(functions))
+    named = stage(members.groupBy("c").agg(F.min("id").alias("class_id"), F.count(F.lit(1)).alias("n_members")), "p6-named")
+    ends = stage(pairs.select("a", "b"), "p6-pairs")
+    ends = ends.unionByName(ends.select(F.col("b").alias("a"), F.col("a").alias("b")))
+    links = ends.join(named.select(F.col("c").alias("b"), "n_members"), "b").groupBy("a").agg(F.sum("n_members").alias("n_links"))
+    named = named.join(links.withColumnRenamed("a", "c"), "c", "left").select("c", "class_id", "n_members", F.coalesce("n_links", F.lit(0)).alias("n_links"))
+    return salted_lookup(members, named, "c", F.xxhash64("id")).select(F.col("id").alias("function_id"), "class_id", "n_members", "n_links")

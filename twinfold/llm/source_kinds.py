@@ -1,15 +1,15 @@
 """Problem 4: generated, minified, third-party and data files among source files.
 
-One linear support-vector classifier a kind, on hashed character n-grams of the text and hashed components of the
-path. No labels exist, so seeds are found by what a file says or how it is built; the leading comments that give
-seeds away are masked before the n-grams are taken, so the classifiers learn the code itself and also find files
-without such a comment. Rows without a sign that look like a kind to a
-machine that wasn't fitted on them leave the negatives. A fifth of
-the repositories is held out whole, and each kind's threshold is set on them.
+Two linear support-vector classifiers a kind. The masked one sees hashed character n-grams of the code, without the
+leading comments, and hashed components of the path; the open one also sees the hashed words of the leading comments
+and the share of the file's runs of five tokens that known third-party files hold. A file is of a kind if either says
+so; no rule decides. No labels exist, so seeds are found by what a file says or how it is built: the rules of
+:func:`seeds` serve for nothing else. Masking the giveaway comments makes the first classifier learn the code itself,
+so that it also finds files without such a comment. Rows without a sign that look like a kind to a machine that wasn't
+fitted on them leave the negatives. A fifth of the repositories is held out whole, and each threshold is set on them.
 
-The sample for fitting is bounded (``PER_KIND``, ``NEGATIVES``); every file is classified, over its whole text. After
-that come two exact checks: what the file itself says in its leading comments or its path, and how much of it is
-contained in a known third-party file.
+The sample for fitting is bounded (``PER_KIND``, ``NEGATIVES``; its features take some 20 kB a row); every file is
+classified, over its whole text.
 
 Defined results
     null or blank text    judged by its path alone
@@ -29,18 +29,21 @@ import numpy as np
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..runtime import stage, width
+from ..runtime import salted_lookup, stage, width
 
 KINDS = ("generated", "minified", "third_party", "data")
-#: Features: hashed n-grams of these lengths, hashed path components.
-GRAMS, GRAM_DIMS, PATH_DIMS = (3, 4, 5), 1 << 13, 1 << 9
+#: Features: hashed n-grams of these lengths, hashed path components, hashed words of the leading comments.
+#: One more is the share of runs in known files. The masked classifiers see the first ``MASKED``.
+GRAMS, GRAM_DIMS, PATH_DIMS, HEAD_DIMS = (3, 4, 5), 1 << 13, 1 << 9, 1 << 10
 #: Rows for fitting: of each kind, and of files without a sign of any kind.
-PER_KIND, NEGATIVES = 400, 1200
+PER_KIND, NEGATIVES = 500, 1600
 #: Score from which a file without a sign is taken out of the negatives, and the highest threshold.
 ALIKE = 0.3
-#: Share of a file's five-token runs that make it a copy, and characters of known files whose runs may be shipped to
-#: the workers (eight bytes a run, some ten characters each).
-CONTAINED, SHIPPED_CHARS = 0.5, 50_000_000
+MASKED = GRAM_DIMS + PATH_DIMS
+DIMS = MASKED + HEAD_DIMS + 1
+#: Share of a file's five-token runs in known files from which it is a seed, and the number of known runs up to which
+#: they are shipped to the workers (eight bytes each); more are met in a join.
+CONTAINED, SHIPPED_RUNS = 0.5, 5_000_000
 
 # What files say about themselves.
 SAYS_GENERATED = re.compile(
@@ -61,6 +64,7 @@ MINIFIED_ENDS = re.compile(r"[.\-](min|bundle)\.[cm]?js$", re.I)
 _LEAD = re.compile(r"""\s*(?:(["'])use strict\1;?\s*|/\*.*?\*/\s*|//[^\n]*(?:\n\s*|$)|<!--.*?-->\s*)*""", re.S)
 _CODE = re.compile(r"\b(?:function|return|if|for|while|switch|class|interface|await|throw|import)\b|=>")
 _TOKEN = re.compile(r"[A-Za-z0-9_$]+")
+_WORD = re.compile(r"@?[^\W\d_]+|/\*!")
 
 
 def normal_path(path: str | None) -> str:
@@ -87,8 +91,8 @@ def marks(path: str, lead: str) -> set[str]:
     return out
 
 
-def seeds(path: str, lead: str, code: str) -> set[str]:
-    """:func:`marks`, and the kinds that the build of the code makes plain."""
+def seeds(path: str, lead: str, code: str, share: float = 0.0) -> set[str]:
+    """:func:`marks`, and the kinds that the build of the code or a known file makes plain."""
     out = marks(path, lead)
     if len(code) >= 300:
         blank = sum(map(code.count, " \n\t")) / len(code)
@@ -97,6 +101,8 @@ def seeds(path: str, lead: str, code: str) -> set[str]:
             out.add("minified")
         if words * 600 < len(code):
             out.add("data")
+    if share >= CONTAINED:
+        out.add("third_party")
     return out
 
 
@@ -104,8 +110,8 @@ def _slot(text: str, dims: int) -> int:
     return int.from_bytes(hashlib.blake2b(text.encode(), digest_size=4).digest(), "big") % dims
 
 
-def features(path: str, code: str) -> np.ndarray:
-    out = np.zeros(GRAM_DIMS + PATH_DIMS, np.float32)
+def features(path: str, code: str, lead: str = "", share: float = 0.0) -> np.ndarray:
+    out = np.zeros(DIMS, np.float32)
     data = np.frombuffer(code.encode("utf-8", "replace"), np.uint8).astype(np.uint64)
     for n in GRAMS:
         if len(data) >= n:
@@ -119,86 +125,122 @@ def features(path: str, code: str) -> np.ndarray:
     if size:
         out /= size
     parts = path.lower().split("/")
-    named = {f"d:{p}" for p in parts[:-1]} | {f"e:{e}" for e in parts[-1].split(".")[1:]}
+    named = {f"d:{p}" for p in parts[:-1]} | {f"e:{e}" for e in parts[-1].split(".")[1:]} | {f"n:{e}" for e in re.split(r"[-_.]", parts[-1])[1:-1]}
     for p in named:
         out[GRAM_DIMS + _slot(p, PATH_DIMS)] = 0.35
+    words = [w.lower() for w in _WORD.findall(lead)]
+    said = {" ".join(words[k : k + n]) for n in (1, 2, 3) for k in range(len(words) - n + 1)}
+    for w in said:
+        out[MASKED + _slot(w, HEAD_DIMS)] = min(0.3, 2 / len(said) ** 0.5)
+    out[-1] = share
     return out
 
 
-def fit(x: np.ndarray, y: np.ndarray, cost: float = 4.0, passes: int = 15) -> np.ndarray:
-    """Weights and bias of the L2-regularised squared-hinge machine, by dual coordinate descent; classes balanced."""
-    x = np.hstack([x, np.ones((len(x), 1), np.float32)])
-    w, alpha = np.zeros(x.shape[1], np.float64), np.zeros(len(x))
-    positive = max(1, int((y > 0).sum()))
-    diagonal = np.where(y > 0, positive / max(1, len(y) - positive), 1.0).clip(0.05) / (2 * cost)
-    q = (x * x).sum(1) + diagonal
+def fit(x: np.ndarray, y: np.ndarray, rows: np.ndarray, dims: int, cost: float = 4.0, passes: int = 15) -> np.ndarray:
+    """Weights and bias of the L2-regularised squared-hinge machine on ``rows`` and the first ``dims`` features.
+
+    Dual coordinate descent; classes are balanced.
+    """
+    w, bias, alpha = np.zeros(dims, np.float32), 0.0, np.zeros(len(x))
+    positive = max(1, int((y[rows] > 0).sum()))
+    diagonal = np.where(y > 0, positive / max(1, len(rows) - positive), 1.0).clip(0.05) / (2 * cost)
+    q = np.einsum("ij,ij->i", x[:, :dims], x[:, :dims]) + 1 + diagonal
     rng = np.random.default_rng(5)
     for _ in range(passes):
-        for i in rng.permutation(len(x)):
-            slope = y[i] * (x[i] @ w) - 1 + alpha[i] * diagonal[i]
+        for i in rng.permutation(rows):
+            row = x[i, :dims]
+            slope = y[i] * (float(row @ w) + bias) - 1 + alpha[i] * diagonal[i]
             new = max(alpha[i] - slope / q[i], 0.0)
             if new != alpha[i]:
-                w += (new - alpha[i]) * y[i] * x[i]
+                step = (new - alpha[i]) * y[i]
+                w += np.float32(step) * row
+                bias += step
                 alpha[i] = new
-    return w.astype(np.float32)
+    return np.append(w, np.float32(bias))
 
 
 class Model:
-    """Weights by kind with their thresholds, and precision and recall on the held-out repositories."""
+    """Weights by kind and view with their thresholds, and precision and recall on the held-out repositories.
+
+    ``weights``, ``thresholds`` and ``report`` are those of the masked view, ``opened`` holds the three of the open one.
+    """
 
     def __init__(self, x: np.ndarray, kinds: list[set[str]], held: np.ndarray):
         clean = np.array([not k for k in kinds], bool)
         self.weights: dict[str, np.ndarray] = {}
         self.thresholds: dict[str, float] = {}
         self.report: dict[str, tuple[float, float]] = {}
+        self.opened: tuple[dict, dict, dict] = ({}, {}, {})
         fold = np.arange(len(x)) % 2
         suspect = np.zeros(len(x), bool)  # without a sign, but alike to a kind in the eyes of a machine that didn't see them
+        of = {kind: np.array([1.0 if kind in k else -1.0 for k in kinds]) for kind in KINDS}
         for _ in range(2):
             strange = np.zeros(len(x), bool)
-            for kind in KINDS:
-                y = np.array([1.0 if kind in k else -1.0 for k in kinds])
+            for y in of.values():
                 use = ((y > 0) | clean) & ~suspect & ~held
                 for f in (0, 1):
-                    train = use & (fold != f)
+                    train = np.flatnonzero(use & (fold != f))
                     if (y[train] > 0).any() and (y[train] < 0).any():
-                        strange |= (fold == f) & (self._score(x, fit(x[train], y[train])) > ALIKE)
+                        other = np.flatnonzero(fold == f)
+                        strange[other] |= self._score(x[other], fit(x, y, train, MASKED)) > ALIKE
             suspect = clean & strange
-        for kind in KINDS:
-            y = np.array([1.0 if kind in k else -1.0 for k in kinds])
+        for kind, y in of.items():
             use = ((y > 0) | clean) & ~suspect
             if not (y[use] > 0).any() or not (y[use] < 0).any():
                 continue
             train = use & ~held
             if not (y[train] > 0).any() or not (y[train] < 0).any():
                 train = use
-            self.weights[kind] = fit(x[train], y[train])
-            self._settle(kind, x[use & held], y[use & held])
+            for dims, view in ((MASKED, (self.weights, self.thresholds, self.report)), (DIMS, self.opened)):
+                view[0][kind] = fit(x, y, np.flatnonzero(train), dims)
+                self._settle(kind, view, x[use & held], y[use & held])
 
     @staticmethod
     def _score(x: np.ndarray, w: np.ndarray) -> np.ndarray:
-        return x @ w[:-1] + w[-1]
+        return x[..., : len(w) - 1] @ w[:-1] + w[-1]
 
-    def _settle(self, kind: str, x: np.ndarray, y: np.ndarray) -> None:
+    def _settle(self, kind: str, view: tuple[dict, dict, dict], x: np.ndarray, y: np.ndarray) -> None:
         """The threshold: what nearly all held-out negatives stay under, but not under 0."""
-        s = self._score(x, self.weights[kind]) if len(x) else np.zeros(0)
+        weights, thresholds, report = view
+        s = self._score(x, weights[kind]) if len(x) else np.zeros(0)
         worst = float(np.quantile(s[y < 0], 0.998)) if (y < 0).any() else 0.0
-        self.thresholds[kind] = min(max(0.0, worst), ALIKE)
-        said = s > self.thresholds[kind]
+        thresholds[kind] = min(max(0.0, worst), ALIKE)
+        said = s > thresholds[kind]
         hit = int((said & (y > 0)).sum())
-        self.report[kind] = (hit / max(1, int(said.sum())), hit / max(1, int((y > 0).sum())))
+        report[kind] = (hit / max(1, int(said.sum())), hit / max(1, int((y > 0).sum())))
+
+    def kinds_of(self, x: np.ndarray) -> dict[str, set[str]]:
+        """By kind the views whose threshold a file passes; a file without any feature has none."""
+        out: dict[str, set[str]] = {}
+        if x.any():
+            for name, (weights, thresholds, _) in (("masked", (self.weights, self.thresholds, None)), ("open", self.opened)):
+                for k, w in weights.items():
+                    if float(self._score(x, w)) > thresholds[k]:
+                        out.setdefault(k, set()).add(name)
+        return out
+
+
+class _TokenHash(dict):
+    def __missing__(self, token: str) -> int:
+        h = int.from_bytes(hashlib.blake2b(token.encode("utf-8", "replace"), digest_size=8).digest(), "big")
+        if len(self) < 500_000:
+            self[token] = h
+        return h
 
-    def kinds_of(self, x: np.ndarray) -> list[str]:
-        """The kinds whose threshold a file passes; a file without any feature has none."""
-        if not x.any():
-            return []
-        return [k for k, w in self.weights.items() if float(x @ w[:-1] + w[-1]) > self.thresholds[k]]
+
+_HASHED = _TokenHash()
 
 
 def _runs(code: str) -> np.ndarray:
-    """Sorted hashes of the runs of five tokens."""
-    tokens = _TOKEN.findall(code)
-    every = {hashlib.blake2b("\x00".join(tokens[i : i + 5]).encode(), digest_size=8).digest() for i in range(len(tokens) - 4)}
-    return np.sort(np.frombuffer(b"".join(every), np.uint64))
+    """Sorted hashes of the distinct runs of five tokens."""
+    h = np.fromiter(map(_HASHED.__getitem__, _TOKEN.findall(code)), np.uint64)
+    if len(h) < 5:
+        return h[:0]
+    out = np.full(len(h) - 4, 5, np.uint64)
+    for k in range(5):
+        out = (out ^ h[k : len(h) - 4 + k]) * np.uint64(0xBF58476D1CE4E5B9)
+        out ^= out >> np.uint64(31)
+    return np.unique(out)
 
 
 def _held(own: np.ndarray, known: np.ndarray) -> int:
@@ -216,76 +258,118 @@ def latest(files: DataFrame) -> DataFrame:
     return kept.groupBy("file_id").agg(F.max_by(F.struct("repo_id", "file", "body"), order).alias("r")).select("file_id", "r.*")
 
 
-def _seed_rows(batches):
+def _run_rows(id_col: str):
+    """(id, run as a signed number) of every distinct run."""
+
+    def run(batches):
+        import pyarrow as pa
+
+        for batch in batches:
+            for key, body in zip(batch.column(0), batch.column(1).to_pylist()):
+                own = _runs(lead_and_code(body)[1]).view(np.int64)
+                yield pa.RecordBatch.from_arrays([pa.array([key.as_py()] * len(own), batch.schema.field(0).type), pa.array(own)], names=[id_col, "run"])
+
+    return run
+
+
+def _described(known):
+    """Adds the kinds of which a file is a seed; with ``known`` also the share of its runs in known files."""
+
+    def run(batches):
+        import pyarrow as pa
+
+        copied = known.value if known is not None else None
+        for batch in batches:
+            names, shares = [], []
+            given = batch.column("share").to_pylist()
+            for file, body, share in zip(batch.column("file").to_pylist(), batch.column("body").to_pylist(), given):
+                lead, code = lead_and_code(body)
+                if copied is not None:
+                    own = _runs(code)
+                    share = _held(own, copied) / len(own) if len(own) else 0.0
+                names.append(sorted(seeds(normal_path(file), lead, code, share)))
+                shares.append(share)
+            columns = [batch.column(c) for c in ("file_id", "repo_id", "file", "body")]
+            yield pa.RecordBatch.from_arrays([*columns, pa.array(names, pa.list_(pa.string())), pa.array(shares, pa.float32())], names=["file_id", "repo_id", "file", "body", "kinds", "share"])
+
+    return run
+
+
+def describe(files: DataFrame, third_party: DataFrame | None = None, shipped_runs: int = SHIPPED_RUNS) -> DataFrame:
+    """``files`` (one row an identifier) with ``kinds``, of which each is a seed, and ``share``, of its runs in known files."""
+    spark, id_type = files.sparkSession, files.schema["file_id"].dataType.simpleString()
+    files, known = files.select("file_id", "repo_id", "file", "body", F.lit(0.0).cast("float").alias("share")), None
+    if third_party is not None:
+        runs = third_party.where(F.col("body").isNotNull()).select(F.lit(0).alias("k"), "body").mapInArrow(_run_rows("k"), "k int, run long").select("run").distinct()
+        runs = stage(runs, "p4-known")
+        if runs.count() <= shipped_runs:
+            known = spark.sparkContext.broadcast(np.sort(runs.toPandas()["run"].to_numpy(np.int64).view(np.uint64)))
+        else:
+            own = stage(files.select("file_id", "body").mapInArrow(_run_rows("file_id"), f"file_id {id_type}, run long"), "p4-runs")
+            held = salted_lookup(own, runs.withColumn("known", F.lit(1)), "run", F.xxhash64("file_id"), how="left")
+            held = held.groupBy("file_id").agg((F.count("known") / F.count(F.lit(1))).cast("float").alias("share"))
+            files = files.drop("share").join(held, "file_id", "left").select("file_id", "repo_id", "file", "body", F.coalesce("share", F.lit(0.0)).cast("float").alias("share"))
+    schema = f"file_id {id_type}, repo_id {files.schema['repo_id'].dataType.simpleString()}, file string, body string, kinds array<string>, share float"
+    return stage(files.mapInArrow(_described(known), schema), "p4-files")
+
+
+def _packed(batches):
+    """Features as two-byte floats, for the driver."""
     import pyarrow as pa
 
     for batch in batches:
-        names = []
-        for file, body in zip(batch.column("file").to_pylist(), batch.column("body").to_pylist()):
+        rows = []
+        for file, body, share in zip(*(batch.column(c).to_pylist() for c in ("file", "body", "share"))):
             lead, code = lead_and_code(body)
-            names.append(sorted(seeds(normal_path(file), lead, code)))
-        yield pa.RecordBatch.from_arrays([batch.column("file_id"), pa.array(names, pa.list_(pa.string()))], names=["file_id", "kinds"])
+            rows.append(features(normal_path(file), code, lead, share or 0.0).astype(np.float16).tobytes())
+        yield pa.RecordBatch.from_arrays([batch.column("held"), batch.column("kinds"), pa.array(rows, pa.binary())], names=["held", "kinds", "x"])
 
 
 def learn(files: DataFrame, third_party: DataFrame | None = None) -> Model:
-    """Fit the classifiers on a bounded sample of the seeds of ``files`` (one row an identifier)."""
-    kind_type = files.schema["file_id"].dataType.simpleString()
-    found_seeds = files.select("file_id", "file", "body").mapInArrow(_seed_rows, f"file_id {kind_type}, kinds array<string>")
-    found_seeds = stage(found_seeds, "p4-seeds")
-    first = found_seeds.withColumn("first", F.coalesce(F.try_element_at("kinds", F.lit(1)), F.lit("")))
+    """Fit the classifiers on a bounded sample of the seeds of ``files`` (one row an identifier, described or not)."""
+    files = files if "share" in files.columns else describe(files, third_party)
+    first = files.select("file_id", F.coalesce(F.try_element_at("kinds", F.lit(1)), F.lit("")).alias("first"))
     rank = F.row_number().over(Window.partitionBy("first").orderBy(F.xxhash64("file_id"), "file_id"))
     most = F.when(F.col("first") == "", NEGATIVES).otherwise(PER_KIND)
-    chosen = first.withColumn("r", rank).where(F.col("r") <= NEGATIVES).where(F.col("r") <= most).select("file_id", "kinds")
-    rows = files.join(chosen, "file_id").select("repo_id", "file", "body", "kinds").toPandas()
-    paths, codes = [normal_path(f) for f in rows["file"].where(rows["file"].notna(), None)], [lead_and_code(b)[1] for b in rows["body"].where(rows["body"].notna(), None)]
-    kinds = [set(k) for k in rows["kinds"]]
-    held = [_slot(str(r), 5) == 0 for r in rows["repo_id"]]
+    chosen = first.withColumn("r", rank).where(F.col("r") <= NEGATIVES).where(F.col("r") <= most).select("file_id")
+    held = F.pmod(F.xxhash64(F.coalesce("repo_id", F.lit(""))), F.lit(5)) == 0
+    sample = files.join(chosen, "file_id").select("file", "body", "share", "kinds", held.alias("held"))
     if third_party is not None:
-        for body in third_party.select("body").limit(PER_KIND).toPandas()["body"].dropna():
-            paths.append("")
-            codes.append(lead_and_code(body)[1])
-            kinds.append({"third_party"})
-            held.append(False)
-    x = np.array([features(p, c) for p, c in zip(paths, codes)], np.float32).reshape(len(paths), GRAM_DIMS + PATH_DIMS)
-    return Model(x, kinds, np.array(held, bool))
+        none = F.lit(None).cast("string")
+        known = third_party.where(F.col("body").isNotNull()).orderBy(F.xxhash64("body")).limit(PER_KIND)
+        sample = sample.unionByName(known.select(none.alias("file"), "body", F.lit(1.0).cast("float").alias("share"), F.array(F.lit("third_party")).alias("kinds"), F.lit(False).alias("held")))
+    rows = sample.mapInArrow(_packed, "held boolean, kinds array<string>, x binary").toPandas()
+    x = np.zeros((len(rows), DIMS), np.float32)
+    for k, data in enumerate(rows["x"]):
+        x[k] = np.frombuffer(data, np.float16)
+    return Model(x, [set(k) for k in rows["kinds"]], rows["held"].to_numpy(bool))
 
 
 def classify(files: DataFrame, third_party: DataFrame | None = None, model: Model | None = None) -> DataFrame:
-    """(``file_id``, ``kinds``, ``evidence``): every file with what it was found to be; hand-written ones have no kind."""
+    """(``file_id``, ``kinds``, ``evidence``): every file with what the classifiers find; hand-written ones have no kind.
+
+    ``evidence`` names the views that passed: ``masked`` (without the leading comments) and ``open``.
+    """
     spark = files.sparkSession
-    files = stage(latest(files), "p4-files")
-    model = model or learn(files, third_party)
-    known = np.zeros(0, np.uint64)
-    if third_party is not None and not third_party.isEmpty():
-        if (third_party.agg(F.sum(F.length("body"))).head()[0] or 0) > SHIPPED_CHARS:
-            raise ValueError(f"more than {SHIPPED_CHARS} characters of known files: split the table and classify against each part")
-        known = np.unique(np.concatenate([known, *(_runs(lead_and_code(b)[1]) for b in third_party.select("body").toPandas()["body"].dropna())]))
-    shipped = spark.sparkContext.broadcast((model, known))
+    files = describe(latest(files), third_party)
+    shipped = spark.sparkContext.broadcast(model or learn(files, third_party))
     kind_type = files.schema["file_id"].dataType.simpleString()
 
     def run(batches):
         import pyarrow as pa
 
-        machine, copied = shipped.value
+        machine = shipped.value
         for batch in batches:
             kinds, evidence = [], []
-            for file, body in zip(batch.column("file").to_pylist(), batch.column("body").to_pylist()):
-                path, (lead, code) = normal_path(file), lead_and_code(body)
-                seen = machine.kinds_of(features(path, code))
-                how = ["classifier"] if seen else []
-                said = marks(path, lead)
-                if said:
-                    how.append("said")
-                own = _runs(code) if len(copied) else copied
-                if len(own) and _held(own, copied) >= CONTAINED * len(own):
-                    said.add("third_party")
-                    how.append("contained")
-                kinds.append(sorted(said.union(seen)))
-                evidence.append(how)
+            for file, body, share in zip(*(batch.column(c).to_pylist() for c in ("file", "body", "share"))):
+                lead, code = lead_and_code(body)
+                seen = machine.kinds_of(features(normal_path(file), code, lead, share or 0.0))
+                kinds.append(sorted(seen))
+                evidence.append(sorted(set().union(*seen.values())))
             lists = pa.list_(pa.string())
             yield pa.RecordBatch.from_arrays([batch.column("file_id"), pa.array(kinds, lists), pa.array(evidence, lists)], names=["file_id", "kinds", "evidence"])
 
-    spread = files.select("file_id", "file", "body").repartition(width(spark))
+    spread = files.select("file_id", "file", "body", "share").repartition(width(spark))
     return spread.mapInArrow(run, f"file_id {kind_type}, kinds array<string>, evidence array<string>")
 
 

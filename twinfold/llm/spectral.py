@@ -4,8 +4,8 @@ The affinities are the cosines of at least ``MIN_COSINE`` (sparse, found by the
 :mod:`vector_search`), with 1 on the diagonal, each row normalised to sum 1. Several distributed vectors of hashed
 starting values are multiplied by this matrix until they stand still; within a group of mutually similar vectors all
 values become equal, between groups they differ. The rows of this embedding are clustered by k-means: seeds are the
-occupied cells of a fine grid, a seed close to a heavier one gives way, points go to the nearest seed. A last exact
-check splits clusters whose parts have no affinity (groups that came into one cell by chance) and joins clusters
+occupied cells of a fine grid, a seed close to a heavier one gives way, points go to the nearest seed, and the centres
+move to the means of their points until no point changes. A last exact check splits clusters whose parts have no affinity (groups that came into one cell by chance) and joins clusters
 between which one remains (groups too stretched to have come to rest).
 
 Equal vectors are one class, weighted by its members, so copies cost nothing.
@@ -24,16 +24,18 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..runtime import hot_keys, salted_lookup, stage
+from ..runtime import free, hot_keys, salted_lookup, stage
 from . import match_groups, vector_search
 
 #: Vectors that are iterated, steps between two looks at their movement, and how often to look at most.
-VECTORS, STEPS, LOOKS = 4, 4, 5
+VECTORS, STEPS, LOOKS = 4, 4, 12
 #: Width of a cell, the share of it within which seeds count as one, and the movement at which the vectors stand still.
 #: Within a group of cosines >= 0.8 a step leaves at most a ninth of the differences.
 CELL, MARGIN, STILL = 5e-4, 0.1, 5e-4
 #: Share of the rows that may still move: they belong to stretched groups, which the last check puts together.
-RESTLESS = 0.02
+RESTLESS = 0.001
+#: Rounds of k-means at most, should points keep changing between centres at the same distance.
+ROUNDS = 20
 #: Members named as typical of a cluster.
 TYPICAL = 3
 
@@ -54,14 +56,17 @@ def iterate(links: DataFrame, hot: DataFrame) -> DataFrame:
     """(i, x0, x1, ...): the vectors once they stand still, or after the last look."""
     names = [f"x{k}" for k in range(VECTORS)]
     state = links.where("i = j").select("i", *[_start(F.col("i"), k).alias(x) for k, x in enumerate(names)])
+    held = None
     for _ in range(LOOKS):
         for step in range(STEPS):
             product = salted_lookup(links, state.withColumnRenamed("i", "j"), "j", F.xxhash64("i"), hot=hot)
             sums = [(F.sum(F.col("w") * F.col(x)) / F.sum("w")).alias(x) for x in names]
-            old = [F.max(F.when(F.col("i") == F.col("j"), F.col("x0"))).alias("old")] if step == STEPS - 1 else []
+            old = [F.max(F.when(F.col("i") == F.col("j"), F.col(x))).alias(f"old_{x}") for x in names] if step == STEPS - 1 else []
             state = product.groupBy("i").agg(*sums, *old)
         state = stage(state, "p2-vectors")
-        moved = F.abs(F.col("x0") - F.col("old")) >= STILL
+        free(held)
+        held = state
+        moved = F.greatest(*[F.abs(F.col(x) - F.col(f"old_{x}")) for x in names]) >= STILL
         restless, all_rows = state.agg(F.count_if(moved), F.count(F.lit(1))).head()
         state = state.select("i", *names)
         if restless <= RESTLESS * all_rows:
@@ -90,10 +95,25 @@ def kmeans(points: DataFrame) -> DataFrame:
     heavier = (F.col("n2") > F.col("n")) | ((F.col("n2") == F.col("n")) & (F.col("l2") < F.col("label")))
     yields = mine.join(theirs, cells).where(heavier & (apart("", "m_") <= CELL * MARGIN)).select("label").distinct()
     left = seeds.join(yields, "label", "left_anti").select(*cells, "label", *[f"m_{x}" for x in names])
-    best = around(points, names).join(left, cells).groupBy("i").agg(F.min_by("label", F.struct(apart("", "m_").alias("d"), "label")).alias("label"))
+    near = around(points, names)
+
+    def nearest(centres: DataFrame) -> DataFrame:
+        return near.join(centres, cells).groupBy("i").agg(F.min_by("label", F.struct(apart("", "m_").alias("d"), "label")).alias("label"))
+
     # a point whose seed gave way and that lies next to no other keeps its own cell's name
     own = points.select("i", *grid).join(seeds.select(*cells, F.col("label").alias("own")), cells).select("i", "own")
-    return own.join(best, "i", "left").select("i", F.coalesce("label", "own").alias("label"))
+    placed = stage(own.join(nearest(left), "i", "left").select("i", F.coalesce("label", "own").alias("label")), "p2-cells")
+    for _ in range(ROUNDS):
+        centres = points.join(placed, "i").groupBy("label").agg(*[F.avg(x).alias(f"m_{x}") for x in names])
+        centres = centres.select("label", *[f"m_{x}" for x in names], *[F.floor(F.col(f"m_{x}") / CELL).alias(g) for x, g in zip(names, cells)])
+        again = placed.join(nearest(centres).withColumnRenamed("label", "new"), "i", "left")
+        again = stage(again.select("i", F.coalesce("new", "label").alias("label"), (F.col("new") != F.col("label")).alias("changed")), "p2-cells")
+        free(placed)
+        placed = again
+        if placed.where("changed").isEmpty():
+            break
+    free(seeds)
+    return placed.select("i", "label")
 
 
 def split(pairs: DataFrame, labels: DataFrame) -> DataFrame:
@@ -116,7 +136,9 @@ def class_clusters(pairs: DataFrame) -> DataFrame:
     """(c, label) of the classes that have an affinity."""
     links = stage(affinities(pairs), "p2-links")
     hot = stage(hot_keys(links, "j"), "p2-hot")
-    labels = stage(split(pairs, stage(kmeans(iterate(links, hot)), "p2-cells")), "p2-labels")
+    embedding = iterate(links, hot)
+    free(links, hot)
+    labels = stage(split(pairs, kmeans(embedding)), "p2-labels")
     across = pairs.join(labels.select(F.col("i").alias("a"), F.col("label").alias("la")), "a").join(labels.select(F.col("i").alias("b"), F.col("label").alias("lb")), "b")
     across = across.where("la <> lb").select(F.col("la").alias("a"), F.col("lb").alias("b"))
     merged = match_groups.groups(across).select(F.col("vertex").alias("label"), "group_id")
@@ -125,7 +147,7 @@ def class_clusters(pairs: DataFrame) -> DataFrame:
 
 def _members(functions: DataFrame, min_cosine: float, **usable_options) -> tuple[DataFrame, DataFrame, DataFrame]:
     points, members = vector_search.classes(vector_search.usable(functions, **usable_options))
-    pairs = stage(vector_search.similar_pairs(points, min_cosine), "p2-pairs")
+    pairs = vector_search.similar_pairs(points, min_cosine)
     label = points.select("c").join(class_clusters(pairs), "c", "left").select("c", F.coalesce("label", "c").alias("label"))
     placed = stage(salted_lookup(members, label, "c", F.xxhash64("id")), "p2-placed")
     keys = placed.groupBy("label").agg(F.min("id").alias("cluster_key"), F.count(F.lit(1)).alias("size")).where("size > 1")
@@ -141,7 +163,7 @@ def describe(functions: DataFrame, min_cosine: float = vector_search.MIN_COSINE,
     """(``cluster_key``, ``size``, ``cohesion``, ``typical_ids``): one row a cluster; its members are in :func:`found`.
 
     Cohesion is the mean cosine of all pairs of members, from the squared length of the sum of their unit vectors.
-    Typical are the members with the largest internal affinity.
+    Typical are the members with the largest internal affinity, compared to four decimals.
     """
     placed, points, pairs = _members(functions, min_cosine, **usable_options)
     placed = stage(placed, "p2-members")
@@ -160,7 +182,7 @@ def describe(functions: DataFrame, min_cosine: float = vector_search.MIN_COSINE,
     inner = weight.join(drawn, (F.col("c") == F.col("i")) & (F.col("cluster_key") == F.col("kj")), "left")
     inner = inner.select("c", (F.coalesce("drawn", F.lit(0.0)) + F.col("m") - 1).alias("inner"))
     ranked = salted_lookup(placed, inner, "c", F.xxhash64("id"))
-    rank = F.row_number().over(Window.partitionBy("cluster_key").orderBy(F.col("inner").desc(), "id"))
+    rank = F.row_number().over(Window.partitionBy("cluster_key").orderBy(F.round("inner", 4).desc(), "id"))
     typical = ranked.withColumn("r", rank).where(F.col("r") <= TYPICAL).groupBy("cluster_key")
     typical = typical.agg(F.transform(F.array_sort(F.collect_list(F.struct("r", "id"))), lambda x: x["id"]).alias("typical_ids"))
     return cohesion.join(typical, "cluster_key").select("cluster_key", "size", "cohesion", "typical_ids")

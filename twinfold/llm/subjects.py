@@ -1,12 +1,13 @@
 """Problem 9: subject areas of documents by latent Dirichlet topic models.
 
 The unit is a paragraph or code block; identifiers are split into their words. The variational E-step runs on all
-units in parallel, its expected counts are summed by topic and word as an ordinary aggregation, and the topics are
-re-estimated from all of them in each round. Topics start from the words of labelled documents (one topic a subject)
-and from the corpus (background topics), which settles their order but not their content. After the last round each
-topic's top terms are inspected: a topic stands for the subject with which most of the weight of these terms is
-associated in the labelled documents, or for none. A unit deals with a subject if its topics claim enough different
-words of it; a passing mention claims one or two.
+units in parallel, its expected counts are summed by topic and word as an ordinary aggregation. The fit is incremental:
+the units are dealt into blocks, the topics are re-estimated after each block from the latest counts of all blocks, and
+passes over all units follow each other until the topics stand still. Topics start from the words of labelled documents
+(one topic a subject) and from the corpus (background topics), which settles their order but not their content. Then
+each topic's top terms are inspected: a topic stands for the subject with which most of the weight of these terms is
+associated in the labelled documents, or for none. A unit deals with a subject if the proportion of the subject's topics
+among its different words makes up enough of them; a passing mention makes up one or two.
 
 Defined results
     null, empty or blank text       no subjects
@@ -23,20 +24,24 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..runtime import stage, width
+from ..runtime import free, stage, width
 
-#: Background topics, rounds over the corpus, and inner steps of a unit.
-BACKGROUND, ROUNDS, INNER = 4, 4, 12
+#: Background topics, blocks of units, passes over all units at most, and the change of a topic (as the share of its
+#: words' probability that moves in a pass) at which the topics stand still.
+BACKGROUND, BLOCKS, PASSES, STILL = 4, 4, 8, 0.05
+#: Inner steps of a unit at most, and the change of its proportions at which it is left alone.
+INNER, SETTLED = 12, 0.01
 #: Share of the units from which a word starts fully in the background; rarer words start there by the square.
 COMMON = 0.02
 #: Dirichlet parameters of topics in a unit and of words in a topic.
 ALPHA, ETA = 0.1, 0.01
-#: Words kept: units that hold the word, at least and as a share at most, and the number of words at most.
-LEAST_UNITS, MOST_SHARE, WORDS = 4, 0.30, 20_000
+#: Words kept: units that hold the word, at least and as a share at most, and the number of words with a place of their
+#: own; where there are more, the rest share ``SLOTS`` places by a hash, so that none is dropped.
+LEAST_UNITS, MOST_SHARE, WORDS, SLOTS = 4, 0.30, 20_000, 1 << 14
 #: Top terms that are inspected, and the share of their weight that one subject must hold.
 TOP_TERMS, CLEAR = 25, 0.5
-#: Different words of a subject that a unit must hold, and the probability from which a word counts for a topic.
-DIFFERENT, SURE = 3, 0.5
+#: Different words that the proportion of a subject must make up in a unit.
+DIFFERENT = 2.6
 
 
 def words_of_units(documents: DataFrame, id_col: str = "doc_id") -> DataFrame:
@@ -49,28 +54,48 @@ def words_of_units(documents: DataFrame, id_col: str = "doc_id") -> DataFrame:
     return rows.select(id_col, words.alias("words")).where(F.size("words") > 0)
 
 
-def vocabulary(units: DataFrame) -> list[str]:
-    """The words kept, in a fixed order: at most ``WORDS``."""
+class Vocabulary:
+    """Words with a place of their own, whether the rest share hashed places, and words that are too frequent to count."""
+
+    def __init__(self, words: list[str], shared: bool, frequent: list[str]):
+        self.words, self.shared, self.frequent = words, shared, frequent
+
+    def __len__(self) -> int:
+        return len(self.words) + (SLOTS if self.shared else 0)
+
+
+def vocabulary(units: DataFrame) -> Vocabulary:
+    """The words in a fixed order, the ``WORDS`` most frequent at most; words too frequent are fewer than words a unit / MOST_SHARE."""
     n = units.count()
     counts = units.select(F.explode(F.array_distinct("words")).alias("w")).groupBy("w").agg(F.count(F.lit(1)).alias("n"))
-    kept = counts.where((F.col("n") >= LEAST_UNITS) & (F.col("n") <= max(MOST_SHARE * n, LEAST_UNITS)))
-    return [r["w"] for r in kept.orderBy(F.col("n").desc(), "w").limit(WORDS).collect()]
+    counts = stage(counts.where(F.col("n") >= LEAST_UNITS), "p9-counts")
+    most = max(MOST_SHARE * n, LEAST_UNITS)
+    kept = [r["w"] for r in counts.where(F.col("n") <= most).orderBy(F.col("n").desc(), "w").limit(WORDS + 1).collect()]
+    frequent = [r["w"] for r in counts.where(F.col("n") > most).collect()]
+    free(counts)
+    return Vocabulary(kept[:WORDS], len(kept) > WORDS, frequent)
 
 
-def _indexed(units: DataFrame, words: list[str], id_col: str) -> DataFrame:
-    shipped = units.sparkSession.sparkContext.broadcast({w: k for k, w in enumerate(words)})
+def _indexed(units: DataFrame, words: Vocabulary, id_col: str) -> DataFrame:
+    shipped = units.sparkSession.sparkContext.broadcast(words)
     kind = units.schema[id_col].dataType.simpleString()
 
     def run(batches):
+        import zlib
+
         import pyarrow as pa
 
-        index = shipped.value
+        known = shipped.value
+        index = {w: k for k, w in enumerate(known.words)}
+        frequent, first = set(known.frequent), len(known.words)
         for batch in batches:
             keys, names, counts = [], [], []
             for key, unit in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
                 seen: dict[int, int] = {}
                 for w in unit:
                     k = index.get(w)
+                    if k is None and known.shared and w not in frequent:
+                        k = first + zlib.crc32(w.encode()) % SLOTS
                     if k is not None:
                         seen[k] = seen.get(k, 0) + 1
                 if seen:
@@ -98,26 +123,47 @@ def _slices(batches, rows: int = 1500):
     for batch in batches:
         for start in range(0, batch.num_rows, rows):
             part = batch.slice(start, rows)
+            if not part.num_rows:
+                continue
             w, n = (part.column(k).flatten().to_numpy() for k in ("w", "n"))
             sizes = np.diff(part.column("w").offsets.to_numpy())
             yield part, w, n.astype(np.float32), sizes
 
 
 def expect(words: np.ndarray, sizes: np.ndarray, counts: np.ndarray, beta: np.ndarray) -> np.ndarray:
-    """Probability of each topic for each word of each unit; ``beta`` is (words, topics)."""
+    """Probability of each topic for each word of each unit; ``beta`` is (words, topics).
+
+    Units whose proportions have settled are left alone.
+    """
     first = np.concatenate([[0], np.cumsum(sizes)[:-1]])
     of = np.repeat(np.arange(len(sizes)), sizes)
     chance = beta[words]
     theta = np.ones((len(sizes), beta.shape[1]), np.float32)
-    for _ in range(INNER):
-        phi = chance * theta[of]
-        phi /= phi.sum(1, keepdims=True) + 1e-30
-        theta = _exp_digamma(ALPHA + np.add.reduceat(phi * counts[:, None], first, axis=0)).astype(np.float32)
+    live, t_of, t_chance, t_counts, t_first = np.arange(len(sizes)), of, chance, counts, first
+    for step in range(INNER):
+        now = theta[live]
+        norm = np.einsum("tk,tk->t", t_chance, now[t_of]) + np.float32(1e-30)
+        gamma = ALPHA + now * np.add.reduceat(t_chance * (t_counts / norm)[:, None], t_first, axis=0)
+        new = _exp_digamma(gamma).astype(np.float32)
+        theta[live] = new
+        if step % 3 == 2 and step < INNER - 1:
+            moved = np.abs(new / new.sum(1, keepdims=True) - now / now.sum(1, keepdims=True)).max(1) > SETTLED
+            if not moved.any():
+                break
+            if moved.mean() < 0.8:
+                keep = moved[t_of]
+                live = live[moved]
+                t_chance, t_counts = t_chance[keep], t_counts[keep]
+                left = sizes[live]
+                t_of = np.repeat(np.arange(len(live)), left)
+                t_first = np.concatenate([[0], np.cumsum(left)[:-1]])
+    phi = chance * theta[of]
+    phi /= phi.sum(1, keepdims=True) + np.float32(1e-30)
     return phi
 
 
 def _sums(units: DataFrame, beta: np.ndarray) -> np.ndarray:
-    """(words, topics): expected counts over all units."""
+    """(words, topics): expected counts over the units given."""
     shipped = units.sparkSession.sparkContext.broadcast(beta.astype(np.float32))
 
     def run(batches):
@@ -126,11 +172,13 @@ def _sums(units: DataFrame, beta: np.ndarray) -> np.ndarray:
         table = shipped.value
         total = np.zeros(table.shape, np.float64)
         for _, w, n, sizes in _slices(batches):
-            np.add.at(total, w, expect(w, sizes, n, table) * n[:, None])
+            order = np.argsort(w, kind="stable")
+            first = np.flatnonzero(np.r_[True, w[order][1:] != w[order][:-1]])
+            total[w[order[first]]] += np.add.reduceat((expect(w, sizes, n, table) * n[:, None])[order], first, axis=0)
         at, topic = np.nonzero(total > 1e-3)
         yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(topic), pa.array(total[at, topic])], names=["w", "k", "v"])
 
-    rows = units.mapInArrow(run, "w long, k long, v double").groupBy("w", "k").agg(F.sum("v").alias("v")).toPandas()
+    rows = units.select("w", "n").mapInArrow(run, "w long, k long, v double").groupBy("w", "k").agg(F.sum("v").alias("v")).toPandas()
     out = np.zeros(beta.shape)
     out[rows["w"].to_numpy(int), rows["k"].to_numpy(int)] = rows["v"]
     return out
@@ -166,12 +214,16 @@ class Topics:
     def __init__(self, words: list[str], beta: np.ndarray, subjects: list[str], stands_for: list[int]):
         self.words, self.beta, self.subjects, self.stands_for = words, beta, subjects, stands_for
 
-    def top_terms(self, topic: int, n: int = TOP_TERMS) -> list[str]:
+    def top_places(self, topic: int, n: int = TOP_TERMS) -> np.ndarray:
         own = self.beta[:, topic] ** 2 / (self.beta.sum(1) + 1e-12)
-        return [self.words[k] for k in np.argsort(-own)[:n]]
+        return np.argsort(-own)[:n]
+
+    def top_terms(self, topic: int, n: int = TOP_TERMS) -> list[str]:
+        return [self.words[k] if k < len(self.words) else f"#{k}" for k in self.top_places(topic, n)]
 
 
 def fit(units: DataFrame, words: list[str], held: np.ndarray, subjects: list[str]) -> Topics:
+    """Topics of the ``units`` (with their ``block``), by incremental passes over all of them."""
     n_words, n_subjects = held.shape
     rng = np.random.default_rng(3)
     corpus = np.zeros(n_words)
@@ -186,12 +238,17 @@ def fit(units: DataFrame, words: list[str], held: np.ndarray, subjects: list[str
     rest = corpus * common * (1 - own.max(1, initial=0.0)) + 1e-3
     start[:, n_subjects:] = rest[:, None] * rng.gamma(2.0, 0.5, (n_words, BACKGROUND))
     beta = _normal(start + ETA)
-    for _ in range(ROUNDS):
-        beta = _normal(_sums(units, beta) + ETA)
+    blocks = [start / BLOCKS for _ in range(BLOCKS)]  # until a block is seen the start stands for it
+    for _ in range(PASSES):
+        before = beta
+        for k in range(BLOCKS):
+            blocks[k] = _sums(units.where(F.col("block") == k), beta)
+            beta = _normal(np.sum(blocks, axis=0) + ETA)
+        if not n_words or np.abs(beta - before).sum(0).max() < 2 * STILL:
+            break
     topics = Topics(words, beta, subjects, [])
-    index = {w: k for k, w in enumerate(words)}
     for k in range(beta.shape[1]):
-        terms = [index[w] for w in topics.top_terms(k)]
+        terms = topics.top_places(k)
         weight = (beta[terms, k][:, None] * own[terms]).sum(0)
         best = int(weight.argmax())
         clear = weight[best] >= CLEAR * weight.sum() and weight[best] >= 0.25 * beta[terms, k].sum()
@@ -199,8 +256,8 @@ def fit(units: DataFrame, words: list[str], held: np.ndarray, subjects: list[str
     return topics
 
 
-def assign(units: DataFrame, topics: Topics, id_col: str = "doc_id", different: int = DIFFERENT) -> DataFrame:
-    """(id_col, ``subject``): from the topic proportions of the units."""
+def assign(units: DataFrame, topics: Topics, id_col: str = "doc_id", different: float = DIFFERENT) -> DataFrame:
+    """(id_col, ``subject``): where the subject's proportion of a unit's different words makes up ``different`` of them."""
     shipped = units.sparkSession.sparkContext.broadcast((topics.beta.astype(np.float32), np.array(topics.stands_for), topics.subjects))
     kind = units.schema[id_col].dataType.simpleString()
 
@@ -213,18 +270,21 @@ def assign(units: DataFrame, topics: Topics, id_col: str = "doc_id", different:
             if s >= 0:
                 of_subject[k, s] = 1.0
         for part, w, n, sizes in _slices(batches):
-            claimed = (expect(w, sizes, n, beta) @ of_subject >= SURE).astype(np.int32)
-            unit, subject = np.nonzero(np.add.reduceat(claimed, np.concatenate([[0], np.cumsum(sizes)[:-1]]), axis=0) >= different)
+            of_words = np.add.reduceat(expect(w, sizes, n, beta) @ of_subject, np.concatenate([[0], np.cumsum(sizes)[:-1]]), axis=0)
+            proportion = of_words / sizes[:, None]
+            unit, subject = np.nonzero(proportion * sizes[:, None] >= different)
             yield pa.RecordBatch.from_arrays([part.column(0).take(pa.array(unit)), pa.array([subjects[s] for s in subject], pa.string())], names=[id_col, "subject"])
 
-    return units.mapInArrow(run, f"{id_col} {kind}, subject string").distinct()
+    return units.select(id_col, "w", "n").mapInArrow(run, f"{id_col} {kind}, subject string").distinct()
 
 
-def prepare(documents: DataFrame, id_col: str = "doc_id") -> tuple[DataFrame, list[str]]:
+def prepare(documents: DataFrame, id_col: str = "doc_id") -> tuple[DataFrame, Vocabulary]:
     units = stage(words_of_units(documents, id_col), "p9-words")
     words = vocabulary(units)
-    indexed = _indexed(units, words, id_col).repartition(width(units.sparkSession))
-    return stage(indexed, "p9-units"), words
+    indexed = _indexed(units, words, id_col).withColumn("block", F.pmod(F.xxhash64("w", "n", id_col), F.lit(BLOCKS)).cast("int"))
+    indexed = stage(indexed.repartition(width(units.sparkSession)), "p9-units")
+    free(units)
+    return indexed, words
 
 
 def found(documents: DataFrame, subject_area: DataFrame, subject_label: DataFrame, id_col: str = "doc_id") -> DataFrame:
@@ -232,4 +292,4 @@ def found(documents: DataFrame, subject_area: DataFrame, subject_label: DataFram
     units, words = prepare(documents, id_col)
     subjects = sorted(r["subject"] for r in subject_area.where(F.col("subject").isNotNull()).select("subject").distinct().collect())
     held = association(units, subject_label, subjects, len(words), id_col)
-    return assign(units, fit(units, words, held, subjects), id_col)
+    return assign(units, fit(units, words.words, held, subjects), id_col)

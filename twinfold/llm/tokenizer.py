@@ -4,7 +4,7 @@ After a pre-token's first i bytes the encoder holds, for every reachable positio
 the encoding of that prefix (byte-level BPE has exactly one: the token whose pairing with the token before it
 survives the merge list). A later byte can only build on positions within the longest token, so everything that all
 live positions agree on is stable and is emitted at once: memory is bounded by the lookahead, not by the text.
-``lookahead`` is computed from the vocabulary. Decoding runs an incremental byte-to-text automaton.
+``lookahead`` is computed from the merge list. Decoding runs an incremental byte-to-text automaton.
 
 Defined results
     null or empty text    the empty list
@@ -17,9 +17,11 @@ from __future__ import annotations
 
 import codecs
 import json
+from array import array
 from collections.abc import Iterable
 from functools import lru_cache
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -60,13 +62,18 @@ class Vocabulary:
                 self.halves[whole], self.rank[whole] = (a, b), rank
         self.bytes_of = {n: t for t, n in self.tokens.items()}
         self.longest = max(map(len, self.tokens))
+        self.merged_longest = max((len(self.bytes_of[n]) for n in self.rank), default=1)
         self.suffixes = {t[k:] for t in self.tokens for k in range(len(t))}
         self._fits: dict[tuple[int, int], bool] = {}
 
     @property
     def lookahead(self) -> int:
-        """Bytes that must be held back at most before a live position can no longer be built on."""
-        return self.longest
+        """Bytes that must be held back at most before a live position can no longer be built on.
+
+        It follows from the merge list: a later byte can only change boundaries under a token that some merge makes, so
+        the longest result of a merge suffices, however long other entries of the vocabulary are.
+        """
+        return self.merged_longest
 
     def fits(self, a: int, b: int) -> bool:
         """Whether ``a`` followed by ``b`` is what the merge list makes of their bytes.
@@ -159,31 +166,37 @@ class Transducer:
         return out
 
 
+class _Memo(dict):
+    """Packed ids (little-endian, four bytes each) by pre-token; a pre-token that isn't known runs through the transducer."""
+
+    def __init__(self, vocabulary: Vocabulary):
+        super().__init__()
+        self.transducer = Transducer(vocabulary)
+
+    def __missing__(self, piece: str) -> bytes:
+        data = piece.encode()
+        ids = array("i", self.transducer.feed(data) + self.transducer.finish()).tobytes()
+        if len(data) <= MEMO_BYTES:
+            if len(self) >= MEMO:
+                self.clear()
+            self[piece] = ids
+        return ids
+
+
 class Encoder:
     def __init__(self, text: str):
         import regex
 
         self.vocabulary = Vocabulary(text)
-        self.pieces = regex.compile(PATTERN).finditer
-        self.known: dict[str, list[int]] = {}
+        self.pieces = regex.compile(PATTERN).findall
+        self.known = _Memo(self.vocabulary)
+
+    def packed(self, text: str | None) -> bytes:
+        """The ids of ``text``, four bytes each; the pre-tokens of a batch share what is known."""
+        return b"".join(map(self.known.__getitem__, self.pieces(text))) if text else b""
 
     def encode(self, text: str | None) -> list[int]:
-        out: list[int] = []
-        if not text:
-            return out
-        known, transducer = self.known, Transducer(self.vocabulary)
-        for m in self.pieces(text):
-            piece = m.group()
-            ids = known.get(piece)
-            if ids is None:
-                data = piece.encode()
-                ids = transducer.feed(data) + transducer.finish()
-                if len(data) <= MEMO_BYTES:
-                    if len(known) >= MEMO:
-                        known.clear()
-                    known[piece] = ids
-            out += ids
-        return out
+        return array("i", self.packed(text)).tolist()
 
 
 class Decoder:
@@ -226,12 +239,16 @@ def encode(documents: DataFrame, path: str, id_col: str = "doc_id", text_col: st
 
         encoder = _encoder(shipped.value)
         for batch in batches:
-            ids = (encoder.encode(t.as_py()) for t in batch.column(1))
-            if count_only:
-                column = pa.array([len(x) for x in ids], pa.int32())
-            else:
-                column = pa.array(list(ids), pa.list_(pa.int32()))
-            yield pa.RecordBatch.from_arrays([batch.column(0), column], names=schema.names)
+            for start in range(0, batch.num_rows, 1000):
+                part = batch.slice(start, 1000)
+                packed = [encoder.packed(t.as_py()) for t in part.column(1)]
+                sizes = np.array([len(x) // 4 for x in packed], np.int32)
+                if count_only:
+                    column = pa.array(sizes)
+                else:
+                    ends = np.concatenate([[0], np.cumsum(sizes)]).astype(np.int32)
+                    column = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.frombuffer(b"".join(packed), "<i4")))
+                yield pa.RecordBatch.from_arrays([part.column(0), column], names=schema.names)
 
     return source.mapInArrow(run, schema)
 
