@@ -414,3 +414,164 @@ def test_windows_on_a_batch_and_a_stream(spark, tmp_path):
     assert {tuple(r) for r in spark.read.parquet(str(tmp_path / "out")).collect()} == want
     windows.run_to_table(windows.first_of(stream, ["user_id"], "event_id", "ts"), str(tmp_path / "out2"), str(tmp_path / "cp2"))
     assert spark.read.parquet(str(tmp_path / "out2")).count() == 3
+
+
+# Reports, judgements and what they rest on
+
+
+def test_lines_that_open_functions():
+    from twinfold.functions.lexer import opens_function as opens
+
+    assert all(map(opens, ["function f() {", "export default async function* g(a) {", "const f = (x) => x", "let g: T = async (x): P<T> => {", "const h = x => x + 1", "  private run(a: B): C {", "add(a, b) {"]))
+    assert not any(map(opens, ["const x = (a + b)", "const f = function (", "if (x) {", "for (;;) {", "call(x);", "return (a) => a", "", "}", "const s = 'function f() {'", "while (go()) {"]))
+
+
+def test_forwarding_bodies(spark):
+    from twinfold.functions import text
+
+    yes = ["(a) => other(a)", "export async function f(a, b) { return this.g.h(a, b); }", "(x) { run(x) }", "async (x) =>  call()"]
+    no = ["function f(a) { return a + 1; }", "(a) => { x(); y(); }", "f", "", "(a) => b", "class A { m() { return n(); } }", "function f(a) { if (a) { g(a); } }"]
+    df = spark.createDataFrame([(t, True) for t in yes] + [(t, False) for t in no] + [(None, False)], "body string, want boolean")
+    assert all(r.want == r.got for r in df.select("want", text.forwards(F.col("body")).alias("got")).collect())
+
+
+def test_compound_names(spark):
+    from twinfold.functions import text
+
+    df = spark.createDataFrame([("normalizePhone", True), ("format_mobile", True), ("ParsePhone", True), ("format", False), ("Format", False), ("URL", False), ("$x", True), ("", False)], "n string, want boolean")
+    assert all(r.want == r.got for r in df.select("want", text.is_compound(F.col("n")).alias("got")).collect())
+
+
+def test_shown_days(spark):
+    from twinfold.functions import text
+
+    df = spark.createDataFrame([("2025-03-05T23:59:00Z",), ("soon",), (None,)], "t string")
+    assert [r[0] for r in df.select(text.shown_day(F.col("t"))).collect()] == ["05 Mar 2025", "soon", None]
+
+
+def test_places_without_a_group(spark):
+    from twinfold.operators import ordering
+
+    df = spark.range(1000).select("id", F.pmod(F.xxhash64("id"), F.lit(77)).alias("k")).repartition(7)
+    got = [r.id for r in ordering.placed(df, F.desc("k"), F.col("id")).orderBy("place").collect()]
+    assert got == [r.id for r in df.orderBy(F.desc("k"), "id").collect()]
+    assert ordering.placed(df.limit(0), F.col("id")).count() == 0
+
+
+def test_waits_grow_and_only_passing_failures_are_tried_again():
+    from twinfold.plans import judge
+
+    assert [judge.wait_before(k, chance=lambda: 1.0) for k in (0, 1, 9)] == [0.5, 1.0, 20.0]
+    assert judge.wait_before(0, chance=lambda: 0.0) == 0.25 and judge.wait_before(3, asked=99) == 20.0
+    slept, left = [], [judge.Transient(wait=2), judge.Transient()]
+
+    def call(x):
+        if left:
+            raise left.pop(0)
+        return x
+
+    assert judge.tried(call, 7, sleep=slept.append) == 7 and len(slept) == 2 and slept[0] == 2
+    with pytest.raises(ZeroDivisionError):
+        judge.tried(lambda: 1 / 0, sleep=slept.append)
+
+    def never():
+        raise judge.Transient()
+
+    with pytest.raises(judge.Transient):
+        judge.tried(never, sleep=slept.append)
+    assert len(slept) == 6
+
+
+def test_judged_candidates(spark):
+    from twinfold.plans import judge
+
+    fns = spark.createDataFrame([(f"f{k}", f"body {k}", (f"d{k}",)) for k in range(12)], "function_id string, body string, fingerprint struct<domain:string>")
+    cands = spark.createDataFrame([("one", ["f1"]), ("two", ["f2", "f3", "f4"]), ("no", ["f5", "f6"]), ("bad", ["f7", "f8"]), ("big", [f"f{k}" for k in range(9)]), ("few", ["f9", "f10"])], "candidate_id string, member_ids array<string>")
+
+    def answer(bodies):
+        if "body 7" in bodies:
+            raise ValueError("no answer")
+        same = "body 5" not in bodies
+        return {"same_behavior": same, "equivalent": ["fn_1"] if "body 9" in bodies else ["fn_3", "fn_1", "fn_3", "fn_9"], "canonical_id": "fn_2", "confidence": 1.7, "probe_inputs": ["[1]", "{}", "x"]}
+
+    got = {r.candidate_id: r for r in judge.settle(judge.ask(cands, fns, answer), fns).collect()}
+    assert {k: r.status for k, r in got.items()} == {"one": "rejected", "two": "kept", "no": "rejected", "bad": "failed", "big": "failed", "few": "rejected"}
+    two = got["two"]
+    assert two.member_ids == ["f4", "f2"] and two.canonical_id == "f4" and two.domain == "d4" and two.confidence == 1.0 and two.probe_inputs == ["[1]"]
+    assert judge.report(judge.settle(judge.ask(cands.limit(0), fns, answer), fns)).head().candidates == 0
+
+
+def test_gates(spark):
+    from twinfold.operators import reports
+
+    rows = spark.createDataFrame([("novel", None, False), ("near-duplicate", "b", False)], "verdict string, match string, executed boolean")
+    reports.gate(rows, "none")
+    reports.gate(rows, "proven-divergence")
+    with pytest.raises(ValueError):
+        reports.gate(rows, "duplicate")
+    with pytest.raises(ValueError):
+        reports.gate(rows, "other")
+
+
+def test_components_with_a_split_hub(spark):
+    from twinfold.operators import clustering
+
+    edges = [("hub", f"s{k}") for k in range(50)] + [("a", "b"), ("b", "c"), ("s3", "t")]
+    df = spark.createDataFrame(edges, "a string, b string")
+    plain, split = ({r.id: r.component for r in clustering.components(df, hot_rows=n).collect()} for n in (50_000, 4))
+    assert plain == split and len(set(plain.values())) == 2
+
+
+def test_tiled_and_shipped_search_agree(spark):
+    import numpy as np
+
+    from twinfold.plans import analysis
+
+    rng = np.random.default_rng(3)
+    types = [["number"], ["string"], ["unknown"], []]
+    schema = "id string, block string, vector array<double>, inputs array<string>, outputs array<string>"
+    rows = lambda p, n: spark.createDataFrame([(f"{p}{k}", f"b{k % 2}", rng.standard_normal(6).tolist(), types[k % 4], types[k // 4 % 4]) for k in range(n)], schema)
+    asked, stored = rows("i", 30), rows("s", 90)
+    one = {tuple(r) for r in analysis.nearest(asked, stored).collect()}
+    two = {tuple(r) for r in analysis.nearest(asked, stored, shipped_rows=5, tile=7).collect()}
+    assert {(a, b, round(c, 9)) for a, b, c in one} == {(a, b, round(c, 9)) for a, b, c in two} and len(one) == 30
+
+
+def test_skipped_files_of_a_tree_come_out(spark, tmp_path):
+    from twinfold.sources import tables
+
+    (tmp_path / "a.ts").write_text("let a = 1")
+    (tmp_path / "b.ts").write_text("x" * 200)
+    got = {r.file.rsplit("/", 1)[1]: (r.contents, r.skipped) for r in tables.source_tree(spark, str(tmp_path), max_file=100).collect()}
+    assert got == {"a.ts": ("let a = 1", ""), "b.ts": (None, "too large")}
+
+
+def test_upserts_keep_the_latest_and_scope_empties(spark, tmp_path):
+    from twinfold.sources import sinks
+
+    path = str(tmp_path / "t")
+    sinks.upsert(spark.createDataFrame([("a", 1, 5), ("a", 2, 9), ("b", 3, 1)], "k string, v int, at int"), path, ["k"], latest="at")
+    assert {(r.k, r.v) for r in spark.read.parquet(path).collect()} == {("a", 2), ("b", 3)}
+    sinks.delete(spark, path, spark.createDataFrame([("b",)], "k string"))
+    assert [r.k for r in spark.read.parquet(path).collect()] == ["a"]
+    parts = str(tmp_path / "p")
+    rows = spark.createDataFrame([("x", "r1"), ("y", "r2")], "f string, repo_id string")
+    sinks.replace_partitions(rows, parts)
+    sinks.replace_partitions(rows.limit(0), parts, scope=rows.where("repo_id = 'r1'"))
+    assert [r.f for r in spark.read.parquet(parts).collect()] == ["y"]
+
+
+def test_salted_lookups_agree(spark, monkeypatch):
+    from twinfold import runtime
+
+    rows = spark.range(300).select("id", F.when(F.col("id") < 200, 0).otherwise(F.col("id") % 7).alias("k"))
+    table = spark.range(5).select(F.col("id").alias("k"), (F.col("id") * 10).alias("v"))
+    want = {tuple(r) for r in rows.join(table, "k", "left").select("id", "v").collect()}
+    for shipped in (100_000, 0):
+        monkeypatch.setattr(runtime, "HOT_SHIPPED", shipped)
+        got = runtime.salted_lookup(rows, table, "k", F.xxhash64("id"), threshold=20, how="left")
+        assert {tuple(r) for r in got.select("id", "v").collect()} == want
+    staged = runtime.stage(rows, "t")
+    runtime.free(staged, None, rows)
+    with pytest.raises(Exception):
+        spark.read.parquet(staged.inputFiles()[0]).collect()

@@ -6,6 +6,7 @@ import os
 import duckdb
 import pytest
 
+import twinfold.plans.report_queries  # noqa: F401  (adds its queries)
 from twinfold.plans.queries import ORACLE_SQL, QUERIES
 
 #: Queries whose result may be empty on the smallest tables.

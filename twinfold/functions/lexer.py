@@ -86,6 +86,35 @@ def matches(tokens: list[Token]) -> dict[int, int]:
     return pairs
 
 
+def opens_function(line: str) -> bool:
+    """Whether a single line declares a function, binds an arrow function, or heads a method with a body."""
+    tokens = tokenize(line)
+    pairs, words = matches(tokens), [t.text for t in tokens]
+    at = 0
+    while at < len(words) and words[at] in ("export", "default", "async"):
+        at += 1
+    if at >= len(words):
+        return False
+    if words[at] == "function":
+        rest = [t for t in tokens[at + 1 :] if t.text != "*"]
+        return bool(rest) and rest[0].kind == "name"
+    if words[at] in ("const", "let", "var"):
+        depth = [k for k in range(at + 1, len(words)) if words[k] == "=" and not any(a < k < b for a, b in pairs.items())]
+        if len(tokens) < at + 2 or tokens[at + 1].kind != "name" or not depth:
+            return False
+        k = depth[0] + 1
+        k += k < len(words) and words[k] == "async"
+        if k < len(words) and words[k] == "(":
+            return k in pairs and "=>" in words[pairs[k] + 1 :]
+        return k + 1 < len(words) and tokens[k].kind == "name" and words[k + 1] == "=>"
+    if at == 0 and words[0] in ("public", "private", "protected", "static"):
+        at = 1
+    if at + 1 < len(words) and tokens[at].kind == "name" and words[at] not in _NOT_NAMES and words[at + 1] == "(" and at + 1 in pairs:
+        after = words[pairs[at + 1] + 1 :]
+        return after[:1] == ["{"] or (after[:1] == [":"] and "{" in after)
+    return False
+
+
 @dataclass
 class Function:
     name: str

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text
 from ..params import DEFAULTS, Params
-from ..runtime import stage
+from ..runtime import HOT_ROWS, free, salted_lookup, stage
 from .similarity import similar_pairs
 
 #: Members of a component up to which its similarities are held in memory; those of a larger one lie in a file.
@@ -23,22 +23,32 @@ def _sign(links: DataFrame) -> tuple:
     return tuple(links.agg(F.count(F.lit(1)), F.bit_xor(F.xxhash64("u", "v")), F.bit_xor(F.xxhash64(F.lit(1), "v", "u"))).head())
 
 
-def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
+def components(edges: DataFrame, max_rounds: int = 60, hot_rows: int = HOT_ROWS) -> DataFrame:
     """(id, component): the smallest identifier that each vertex of (a, b) is connected to.
 
     Alternating large-star and small-star steps: each is one aggregation over the links, the number of rounds grows
-    with the logarithm of the longest path, and no vertex gathers its neighbourhood in one task beyond a minimum.
+    with the logarithm of the longest path. A hub's links are spread over as many tasks as it has ``hot_rows`` of them.
     """
     links = stage(edges.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct(), "cc-links")
     sign = _sign(links)
+
+    def lowest(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
+        """Each ``u`` with its smallest partner, and the hubs among them."""
+        low = stage(rows.groupBy("u").agg(F.min("v").alias("m"), F.count(F.lit(1)).alias("_n")), "cc-low")
+        return low, stage(low.where(F.col("_n") > hot_rows).select("u", F.ceil(F.col("_n") / hot_rows).cast("int").alias("_slices")), "cc-hot")
+
     for _ in range(max_rounds):
         both = links.unionByName(links.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        low = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        large = both.join(low, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
+        low, hot = lowest(both)
+        large = salted_lookup(both, low.select("u", F.least("u", "m").alias("m")), "u", F.xxhash64("v"), hot=hot)
+        large = large.where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
         large = stage(large.where("u <> v"), "cc-large")
-        low = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(low, "u").select(F.explode(F.array(F.struct("v", "m"), F.struct(F.col("u").alias("v"), "m"))).alias("x"))
+        free(low, hot, links)
+        low, hot = lowest(large)
+        small = salted_lookup(large, low.select("u", "m"), "u", F.xxhash64("v"), hot=hot)
+        small = small.select(F.explode(F.array(F.struct("v", "m"), F.struct(F.col("u").alias("v"), "m"))).alias("x"))
         small = stage(small.select(F.col("x.v").alias("u"), F.col("x.m").alias("v")).where("u <> v").distinct(), "cc-small")
+        free(low, hot, large)
         links, before = small, sign
         sign = _sign(links)
         if sign == before:

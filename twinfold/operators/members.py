@@ -56,6 +56,25 @@ def member_rows(clusters: DataFrame, functions: DataFrame) -> DataFrame:
     return rows.select("cluster_id", F.row_number().over(order).alias("place"), "function_id", "name", "file", "loc")
 
 
+def counts_with_zero(keys: DataFrame, rows: DataFrame, by: str, name: str) -> DataFrame:
+    """(by, name): the number of ``rows`` of each of ``keys``, 0 where there is none."""
+    counts = rows.groupBy(by).agg(F.count(F.lit(1)).alias(name))
+    return keys.select(by).join(counts, by, "left").select(by, F.coalesce(name, F.lit(0)).alias(name))
+
+
+def not_indexed(snapshots: DataFrame, functions: DataFrame, by: str) -> DataFrame:
+    """Snapshots without a stored function."""
+    return snapshots.join(functions.select(by).distinct(), by, "left_anti")
+
+
+def candidate_bodies(candidates: DataFrame, functions: DataFrame) -> DataFrame:
+    """(candidate_id, members of (position, function_id, body, domain)): in the candidate's order, '' and 'unknown' where there is none."""
+    listed = candidates.select("candidate_id", F.posexplode("member_ids").alias("position", "function_id"))
+    rows = listed.join(functions.select("function_id", "body", F.col("fingerprint.domain").alias("domain")), "function_id", "left")
+    member = F.struct("position", "function_id", F.coalesce("body", F.lit("")).alias("body"), F.coalesce("domain", F.lit("unknown")).alias("domain"))
+    return rows.groupBy("candidate_id").agg(F.array_sort(F.collect_list(member)).alias("members"))
+
+
 def removable_lines(clusters: DataFrame, functions: DataFrame) -> DataFrame:
     """(cluster_id, lines_removable): lines of all members but the canonical one; unknown members count 0."""
     rows = exploded(clusters).join(functions.select("function_id", "loc"), "function_id", "left")
@@ -89,13 +108,18 @@ def labelled(pairs: DataFrame, functions: DataFrame) -> DataFrame:
     return pairs.join(left, "a").join(right, "b")
 
 
-def overlapping(functions: DataFrame, ranges: DataFrame, on: list[str], bin_lines: int = 64) -> DataFrame:
-    """Functions whose [start_line, end_line] overlaps a [low, high] of the same ``on``; a semi join.
+def overlaps(functions: DataFrame, ranges: DataFrame, on: list[str], bin_lines: int = 64) -> DataFrame:
+    """(function_id, low, high): functions with each [low, high] of the same ``on`` that meets their [start_line, end_line].
 
     Lines are binned, so the join has an equality on the bin and stays a hash join; ranges are merged per bin first.
     """
     bins = lambda a, b: F.explode(F.sequence(F.floor(F.col(a) / bin_lines), F.floor(F.col(b) / bin_lines)))
     binned = ranges.where("low <= high").withColumn("_bin", bins("low", "high")).select(*on, "_bin", F.col("low").alias("_low"), F.col("high").alias("_high")).distinct()
     spread = functions.where("start_line <= end_line").select("function_id", *on, "start_line", "end_line").withColumn("_bin", bins("start_line", "end_line"))
-    hit = spread.join(binned, [*on, "_bin"]).where("start_line <= _high and _low <= end_line").select("function_id").distinct()
-    return functions.join(hit, "function_id", "left_semi")
+    met = spread.join(binned, [*on, "_bin"]).where("start_line <= _high and _low <= end_line")
+    return met.select("function_id", F.col("_low").alias("low"), F.col("_high").alias("high")).distinct()
+
+
+def overlapping(functions: DataFrame, ranges: DataFrame, on: list[str], bin_lines: int = 64) -> DataFrame:
+    """Functions whose [start_line, end_line] overlaps a [low, high] of the same ``on``; a semi join."""
+    return functions.join(overlaps(functions, ranges, on, bin_lines).select("function_id").distinct(), "function_id", "left_semi")

@@ -6,11 +6,23 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text
+from ..runtime import stage
 
 
 def placed(df: DataFrame, *order: Column, by: list[str] | None = None, name: str = "place") -> DataFrame:
-    """``df`` with each row's place in a total order (within ``by``)."""
-    return df.withColumn(name, F.row_number().over(Window.partitionBy(*(by or [])).orderBy(*order)))
+    """``df`` with each row's place in a total order (within ``by``).
+
+    Without ``by`` the rows are sorted by ranges, numbered within each, and moved up by the sizes of the ranges before.
+    """
+    if not by:
+        bits = 33  # monotonically_increasing_id holds the partition above these, the row's number below
+        rows = stage(df.orderBy(*order).withColumn("_at", F.monotonically_increasing_id()), "placed")
+        part, within = F.shiftright("_at", bits), F.col("_at").bitwiseAND(F.lit((1 << bits) - 1))
+        sizes = rows.groupBy(part.alias("_part")).agg(F.count(F.lit(1)).alias("_n"))  # a row a partition
+        before = F.coalesce(F.sum("_n").over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+        sizes = F.broadcast(sizes.select("_part", before.alias("_before")))
+        return rows.withColumn("_part", part).join(sizes, "_part").withColumn(name, F.col("_before") + within + 1).drop("_at", "_part", "_before")
+    return df.withColumn(name, F.row_number().over(Window.partitionBy(*by).orderBy(*order)))
 
 
 def risk_rank(risk: Column) -> Column:
@@ -25,6 +37,16 @@ def by_risk() -> list[Column]:
     return [risk_rank(F.col("disagreement_risk")), F.desc_nulls_last("confidence"), F.desc_nulls_last("cohesion"), F.col("cluster_id")]
 
 
+def by_interest() -> list[Column]:
+    """Repositories whose statistics are missing last; then by proven divergences, clusters, functions and name."""
+    return [F.col("health_score").isNull().cast("int"), F.desc("proven"), F.desc_nulls_last("duplicate_clusters"), F.desc_nulls_last("functions"), F.concat("owner", F.lit("/"), "name"), F.col("repo_id")]
+
+
+def by_state() -> list[Column]:
+    """Findings that are proven, then suspected, then new."""
+    return [F.when(F.col("state") == "proven", 0).when(F.col("state") == "suspected", 1).otherwise(2)]
+
+
 def page(df: DataFrame, order: list[Column], number: int = 1, size: int = 20) -> tuple[DataFrame, dict[str, int]]:
     """One page, and the counts that go with it; at least one page."""
     if number < 1 or size < 1:

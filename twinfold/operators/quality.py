@@ -35,6 +35,24 @@ def cluster_rules() -> dict[str, Column]:
     }
 
 
+def proof_rules() -> dict[str, Column]:
+    """Of clusters with (proven, divergence of (executed, rows))."""
+    executed = F.coalesce(F.col("divergence.executed"), F.lit(False))
+    differs = F.coalesce(F.exists("divergence.rows", lambda r: r["diverged"]), F.lit(False))
+    return {"proven was executed": ~F.col("proven") | executed, "executed and diverged is proven": ~(executed & differs) | F.col("proven")}
+
+
+def total_rules() -> dict[str, Column]:
+    """Of repositories' statistics beside what their clusters sum up to."""
+    return {
+        "clusters are those stored": F.col("duplicate_clusters") == F.col("stored_clusters"),
+        "suspected are at least those proven": F.col("conflicts") >= F.col("stored_proven"),
+        "removable lines are the sum": F.col("lines_removable") == F.col("stored_lines"),
+        "score within 0 and 100": F.col("health_score").between(0, 100),
+        "analysed are at most all": F.col("functions_analyzed") <= F.col("functions_total"),
+    }
+
+
 def missing_members(clusters: DataFrame, functions: DataFrame) -> DataFrame:
     """(cluster_id, function_id): listed members that have no row."""
     listed = clusters.select("cluster_id", F.explode("function_ids").alias("function_id")).distinct()

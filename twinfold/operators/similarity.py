@@ -11,7 +11,7 @@ from collections.abc import Callable
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import text
@@ -92,17 +92,27 @@ def similar_pairs(rows: DataFrame, floor: float, compatible: bool = True, tile:
 
 
 def best_match(pairs: DataFrame) -> DataFrame:
-    """(id, match, similarity): of every row its most similar partner; the smaller identifier wins a tie."""
+    """(id, match, similarity): of every row its most similar partner; of similarities equal to nine decimals the smaller identifier wins."""
     both = pairs.select(F.col("a").alias("id"), F.col("b").alias("match"), "similarity").unionByName(pairs.select(F.col("b").alias("id"), F.col("a").alias("match"), "similarity"))
-    best = F.min(F.struct((-F.col("similarity")).alias("d"), "match")).alias("m")
-    return both.groupBy("id").agg(best).select("id", "m.match", (-F.col("m.d")).alias("similarity"))
+    return best_of(both)
+
+
+def best_of(directed: DataFrame) -> DataFrame:
+    """The best row of each ``id`` among (id, match, similarity)."""
+    best = F.min(F.struct((-F.round("similarity", 9)).alias("d"), "match", "similarity")).alias("m")
+    return directed.groupBy("id").agg(best).select("id", "m.match", "m.similarity")
+
+
+def is_stale(version: str) -> Column:
+    """Whether a row has a vector that another recipe made."""
+    return (F.size("embedding") > 0) & ~F.col("embed_version").eqNullSafe(F.lit(version))
 
 
 def check_recipe(functions: DataFrame, version: str) -> Callable[[], None]:
     """A check to run before a search: raises if an indexed vector is of another recipe."""
 
     def run() -> None:
-        stale = functions.where(F.size("embedding") > 0).where(~F.col("embed_version").eqNullSafe(version)).limit(1).count()
+        stale = functions.where(is_stale(version)).limit(1).count()
         if stale:
             raise ValueError(f"the index holds vectors that weren't made by {version}: embed it again first")
 

@@ -23,6 +23,14 @@ def health_score(functions: Column, clusters: Column, conflicts: Column, near: C
     return F.when(units == 0, 100).otherwise(F.floor(text.clamp(score, 0.0, 100.0) + 0.5)).cast("int")
 
 
+def totals(functions: DataFrame, snapshots: DataFrame) -> DataFrame:
+    """(repo_id, functions, functions_analyzed, functions_total): the total is the snapshot's where it has one above 0, else what was analysed."""
+    counts = functions.groupBy("repo_id").agg(F.count(F.lit(1)).alias("functions"))
+    known = snapshots.groupBy("repo_id").agg(F.max("stats.functions_total").cast("bigint").alias("known"))
+    out = counts.join(known, "repo_id", "left")
+    return out.select("repo_id", "functions", F.col("functions").alias("functions_analyzed"), F.coalesce(F.when(F.col("known") > 0, F.col("known")), "functions").alias("functions_total"))
+
+
 def repo_stats(functions: DataFrame, clusters: DataFrame, params: Params = DEFAULTS) -> DataFrame:
     """One row a repository of ``functions``: counts, duplicates, removable lines, health.
 
@@ -63,6 +71,14 @@ def portfolio(stats: DataFrame) -> DataFrame:
     return out
 
 
+def reconciled(stats: DataFrame, clusters: DataFrame, proven: Column) -> DataFrame:
+    """Per repository and in total (``repo_id`` null): confirmed clusters by the statistics against stored ones, with those proven."""
+    stored = clusters.groupBy("repo_id").agg(F.count(F.lit(1)).alias("stored"), F.count_if(proven).alias("proven"))
+    rows = stats.join(stored, "repo_id", "left").na.fill(0, ["stored", "proven"])
+    sums = ["functions", "duplicate_clusters", "stored", "near_duplicates", "conflicts", "proven", "lines_removable"]
+    return rows.rollup("repo_id").agg(*[F.sum(c).cast("bigint").alias(c) for c in sums], F.when(F.grouping("repo_id") == 0, F.max("health_score")).alias("health_score"))
+
+
 def sweep(pairs: DataFrame, low: int = 60, high: int = 95) -> DataFrame:
     """The confusion matrix of 'cosine >= threshold' over (is_clone, cosine), by hundredths.
 

@@ -38,49 +38,66 @@ def analyse(functions: DataFrame, params: Params = DEFAULTS) -> dict[str, DataFr
     return {"candidates": ids, "summary": summary, "report": stats.index_report(functions)}
 
 
-def _nearest(shipped):
+def _best(asked: pd.DataFrame, rows: pd.DataFrame) -> pd.DataFrame:
+    """Of each asked row its most similar compatible one among ``rows`` of the same block; similarities are tried from the highest."""
+    out: list[tuple] = []
+    wild = set(text.WILDCARD_TYPES)
+    meet = lambda x, y: x in wild or y in wild or x == y
+    for size, mine, units in similarity._scaled(asked["vector"]):
+        for other, theirs, stored in similarity._scaled(rows["vector"]):
+            if other != size:
+                continue
+            names = rows["id"].to_numpy()[theirs]
+            ins, outs = rows["inputs"].to_numpy()[theirs], rows["outputs"].to_numpy()[theirs]
+            for k, sims in zip(mine, units @ stored.T):
+                ia, oa = asked["inputs"].iloc[k], asked["outputs"].iloc[k]
+                for j in np.lexsort((names, -np.round(sims, 9))):
+                    if (not len(oa) or not len(outs[j]) or any(meet(x, y) for x in oa for y in outs[j])) and all(map(meet, ia, ins[j])):
+                        out.append((asked["id"].iloc[k], names[j], float(sims[j])))
+                        break
+    return pd.DataFrame(out, columns=["id", "match", "similarity"])
+
+
+def _against_shipped(shipped):
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        blocks, ids, units = shipped.value
+        asked = shipped.value
         for rows in batches:
             for block, part in rows.groupby("block"):
-                at = [k for k, b in enumerate(blocks) if b == block]
-                for size, where, unit in similarity._scaled(part["vector"]):
-                    mine = [k for k in at if len(units[k]) == size]
-                    if not mine:
-                        continue
-                    sims = unit @ np.array([units[k] for k in mine]).T
-                    i, j = np.nonzero(sims >= -1.0)
-                    names = part["id"].to_numpy()[where]
-                    yield pd.DataFrame({"id": [ids[mine[k]] for k in j], "match": names[i], "similarity": sims[i, j]})
+                if block in asked:
+                    yield _best(asked[block], part)
 
     return run
 
 
-def nearest(incoming: DataFrame, stored: DataFrame) -> DataFrame:
+def _tiled(rows: pd.DataFrame) -> pd.DataFrame:
+    return _best(rows[rows["asks"]], rows[~rows["asks"]])
+
+
+def nearest(incoming: DataFrame, stored: DataFrame, shipped_rows: int = SHIPPED_ROWS, tile: int = similarity.TILE) -> DataFrame:
     """(id, match, similarity): of every incoming row its most similar compatible stored row.
 
-    Both as from :func:`similarity.clusterable`. A small request is shipped to the workers, so the index moves nowhere
-    and one aggregation of request size follows; a large one is joined tile by tile.
+    Both as from :func:`similarity.clusterable`, with identifiers of one type. A small request is shipped to the
+    workers, so the index moves nowhere; a large one meets it tile by tile. Either way a task gives one row for each
+    incoming row it saw, never a pair more, and one aggregation follows.
     """
     spark = incoming.sparkSession
-    kinds = {k: df.schema["id"].dataType.simpleString() for k, df in (("id", incoming), ("match", stored))}
-    if incoming.limit(SHIPPED_ROWS + 1).count() <= SHIPPED_ROWS:
-        rows = incoming.select("id", "block", "vector").toPandas()
-        units: list = [None] * len(rows)
-        for _, at, unit in similarity._scaled(rows["vector"]) if len(rows) else []:
-            for k, u in zip(at, unit):
-                units[k] = u
-        shipped = spark.sparkContext.broadcast((rows["block"].tolist(), rows["id"].tolist(), units))
-        pairs = stored.select("id", "block", "vector").mapInPandas(_nearest(shipped), f"id {kinds['id']}, match {kinds['match']}, similarity double")
-    else:
-        both = incoming.select(F.concat(F.lit("i:"), "id").alias("id"), "block", "vector").unionByName(stored.select(F.concat(F.lit("s:"), "id").alias("id"), "block", "vector"))
-        found = similarity.similar_pairs(both, -1.0, compatible=False).where(F.col("a").startswith("i:") & F.col("b").startswith("s:"))
-        pairs = found.select(F.substring("a", 3, 1 << 30).alias("id"), F.substring("b", 3, 1 << 30).alias("match"), "similarity")
-    left = incoming.select("id", F.col("inputs").alias("ia"), F.col("outputs").alias("oa"))
-    right = stored.select(F.col("id").alias("match"), F.col("inputs").alias("ib"), F.col("outputs").alias("ob"))
-    fit = pairs.join(left, "id").join(right, "match").where(text.outputs_overlap(F.col("oa"), F.col("ob")) & text.inputs_line_up(F.col("ia"), F.col("ib")))
-    best = F.min(F.struct((-F.col("similarity")).alias("d"), "match")).alias("m")
-    return fit.groupBy("id").agg(best).select("id", "m.match", (-F.col("m.d")).alias("similarity"))
+    plain = [F.transform(c, text.normal_type).alias(c) for c in ("inputs", "outputs")]
+    incoming, stored = (df.select("id", "block", "vector", *plain) for df in (incoming, stored))
+    kind = stored.schema["id"].dataType.simpleString()
+    schema = f"id {incoming.schema['id'].dataType.simpleString()}, match {kind}, similarity double"
+    if incoming.limit(shipped_rows + 1).count() <= shipped_rows:
+        rows = incoming.toPandas()
+        shipped = spark.sparkContext.broadcast({block: part for block, part in rows.groupby("block")})
+        return similarity.best_of(stored.mapInPandas(_against_shipped(shipped), schema))
+    sizes = [df.groupBy("block").agg(F.ceil(F.count(F.lit(1)) / tile).cast("int").alias(name)) for df, name in ((incoming, "n_asking"), (stored, "n_stored"))]
+    tiles = F.broadcast(sizes[0].join(sizes[1], "block"))  # a row a block
+    own = lambda n: F.pmod(F.xxhash64("id"), F.col(n)).cast("int")
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    left = incoming.join(tiles, "block").withColumn("asks", F.lit(True)).withColumn("t", own("n_asking")).withColumn("u", every("n_stored"))
+    right = stored.join(tiles, "block").withColumn("asks", F.lit(False)).withColumn("t", every("n_asking")).withColumn("u", own("n_stored"))
+    columns = ["block", "t", "u", "id", "vector", "inputs", "outputs", "asks"]
+    met = left.select(*columns).unionByName(right.select(*columns)).groupBy("block", "t", "u").applyInPandas(_tiled, schema)
+    return similarity.best_of(met)
 
 
 def guard(incoming: DataFrame, stored: DataFrame, clusters: DataFrame, emit_unmatched: bool = False, params: Params = DEFAULTS) -> DataFrame:

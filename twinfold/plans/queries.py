@@ -105,10 +105,17 @@ def fn_embed_text(spark, sf):
 _SQUEEZED = "trim(regexp_replace(body, '" + _SPACE + "', ' ', 'g'))"
 
 
-@query(
-    f"WITH {_F}, r AS (SELECT repo_id, CASE WHEN loc < 3 THEN 'under 3 lines' WHEN regexp_matches({_SQUEEZED}, '{text.WRAPPER}') THEN 'trivial wrapper' END AS reason FROM f) "
-    "SELECT repo_id, reason, count(*) AS functions FROM r GROUP BY ALL"
-)
+_FORWARDS = f"""a AS (SELECT repo_id, loc, {_SQUEEZED} AS s FROM f),
+b AS (SELECT *, trim(split_part(s, '(', 1)) AS h, ltrim(substr(s, strpos(s, ')') + 1)) AS r FROM a),
+c AS (SELECT *, CASE WHEN starts_with(h || ' ', 'export ') THEN trim(substr(h, 7)) ELSE h END AS h2, CASE WHEN starts_with(r, '=>') THEN trim(substr(r, 3)) WHEN starts_with(r, '{{') THEN trim(substr(r, 2)) END AS i FROM b),
+d AS (SELECT *, CASE WHEN starts_with(h2 || ' ', 'async ') THEN trim(substr(h2, 6)) ELSE h2 END AS h3, CASE WHEN ends_with(i, '}}') THEN rtrim(left(i, length(i) - 1)) ELSE i END AS i2 FROM c),
+e AS (SELECT *, CASE WHEN ends_with(i2, ';') THEN rtrim(left(i2, length(i2) - 1)) ELSE i2 END AS i3 FROM d),
+g AS (SELECT *, CASE WHEN starts_with(i3, 'return ') THEN substr(i3, 8) ELSE i3 END AS call FROM e),
+w AS (SELECT repo_id, loc, coalesce(strpos(s, ')') > 0 AND (h3 = '' OR regexp_full_match(h3, 'function *[0-9A-Za-z_]*')) AND regexp_full_match(split_part(call, '(', 1), '[0-9A-Za-z_.]+')
+  AND ends_with(substr(call, strpos(call, '(') + 1), ')') AND NOT regexp_matches(substr(call, strpos(call, '(') + 1), '[;{{}}]'), false) AS forwards FROM g)"""
+
+
+@query(f"WITH {_F}, {_FORWARDS}, r AS (SELECT repo_id, CASE WHEN loc < 3 THEN 'under 3 lines' WHEN forwards THEN 'trivial wrapper' END AS reason FROM w) SELECT repo_id, reason, count(*) AS functions FROM r GROUP BY ALL")
 def fn_skip_reasons(spark, sf):
     reason = text.skip_reason(F.col("loc"), F.col("body")).alias("reason")
     return functions(spark, sf).groupBy("repo_id", reason).agg(F.count(F.lit(1)).alias("functions"))
@@ -123,7 +130,10 @@ def fn_signatures(spark, sf):
     return functions(spark, sf).select("function_id", text.truncate_body(body, 400).alias("body"), text.signature_of(body).alias("signature"))
 
 
-@query()
+@query(
+    f"WITH {_F}, s AS (SELECT function_id, name, unnest(list_append(fingerprint.behavior, 'calls  ' || name || ' twice')) AS step FROM f WHERE fingerprint.behavior IS NOT NULL) SELECT function_id, CASE WHEN contains(name, '_') OR contains(name, '$') OR regexp_matches(name, '^[A-Za-z]*[a-z][A-Z]') "
+    "THEN trim(regexp_replace(regexp_replace(step, '\\b' || regexp_escape(name) || '\\b', '', 'g'), '[ \\t]{2,}', ' ', 'g')) ELSE step END AS step FROM s"
+)
 def fn_scrub(spark, sf):
     rows = functions(spark, sf).select("function_id", "name", F.explode(F.array_append("fingerprint.behavior", F.concat(F.lit("calls  "), F.col("name"), F.lit(" twice")))).alias("step"))
     return rows.select("function_id", text.scrub(F.col("step"), F.col("name")).alias("step"))
@@ -255,13 +265,13 @@ def jn_similar_functions(spark, sf):
 
 @query(
     f"WITH {_SIMILAR}, d AS (SELECT a AS id, b AS match, similarity FROM p UNION ALL SELECT b, a, similarity FROM p) "
-    "SELECT id, round(max(similarity), 6) AS similarity, CASE WHEN max(similarity) >= 0.8 THEN 'near' ELSE 'novel' END AS state FROM d GROUP BY id"
+    "SELECT id, match, round(similarity, 6) AS similarity, CASE WHEN similarity >= 0.8 THEN 'near' ELSE 'novel' END AS state FROM d QUALIFY row_number() OVER (PARTITION BY id ORDER BY round(similarity, 9) DESC, match) = 1"
 )
 def jn_best_match(spark, sf):
     rows = similarity.clusterable(functions(spark, sf))
     best = similarity.best_match(similarity.similar_pairs(rows, DEFAULTS.edge_floor))
     state = F.when(F.col("similarity") >= DEFAULTS.match_floor, "near").otherwise("novel")
-    return best.select("id", F.round("similarity", 6).alias("similarity"), state.alias("state"))
+    return best.select("id", "match", F.round("similarity", 6).alias("similarity"), state.alias("state"))
 
 
 @query(
@@ -315,13 +325,13 @@ def jn_cache_lookup(spark, sf):
 
 
 @query(
-    f"WITH {_F}, d AS (SELECT body_hash, fingerprint.domain AS domain, len(embedding) AS dimensions FROM repo_function WHERE fingerprint IS NOT NULL AND len(embedding) > 0 "
-    "QUALIFY row_number() OVER (PARTITION BY body_hash ORDER BY updated_at DESC, function_id DESC) = 1) SELECT function_id, domain, dimensions FROM f LEFT JOIN d USING (body_hash)"
+    f"WITH {_F}, d AS (SELECT body_hash, fingerprint.domain AS domain, len(embedding) AS dimensions, round(list_sum(embedding), 6) AS total FROM repo_function WHERE fingerprint IS NOT NULL AND len(embedding) > 0 "
+    "QUALIFY row_number() OVER (PARTITION BY body_hash ORDER BY updated_at DESC, function_id DESC) = 1) SELECT function_id, domain, dimensions, total FROM f LEFT JOIN d USING (body_hash)"
 )
 def jn_attach(spark, sf):
     derived = members.derivations(table(spark, sf, "repo_function"))
     rows = members.attach(functions(spark, sf), derived)
-    return rows.select("function_id", F.col("fingerprint.domain").alias("domain"), F.when(F.col("embedding").isNotNull(), F.size("embedding")).alias("dimensions"))
+    return rows.select("function_id", F.col("fingerprint.domain").alias("domain"), F.when(F.col("embedding").isNotNull(), F.size("embedding")).alias("dimensions"), F.round(F.aggregate("embedding", F.lit(0.0), lambda s, x: s + x), 6).alias("total"))
 
 
 _EXPLODED = "x AS (SELECT cluster_id, canonical_id, unnest(function_ids) AS function_id, generate_subscripts(function_ids, 1) - 1 AS position FROM clone_cluster)"
@@ -373,8 +383,7 @@ def jn_overlapping(spark, sf):
 # Aggregates
 
 
-@query(
-    f"""WITH {_F}, {_EXPLODED}, h AS (SELECT function_id, loc, {_module('file')} AS module FROM f), b AS (SELECT repo_id, count(*) AS functions, count(DISTINCT file) AS files, count(DISTINCT {_module('file')}) AS modules FROM f GROUP BY 1),
+REPO_STATS = f"""WITH {_F}, {_EXPLODED}, h AS (SELECT function_id, loc, {_module('file')} AS module FROM f), b AS (SELECT repo_id, count(*) AS functions, count(DISTINCT file) AS files, count(DISTINCT {_module('file')}) AS modules FROM f GROUP BY 1),
 c AS (SELECT repo_id, count(*) FILTER (WHERE confidence >= 0.75) AS dup, count(*) FILTER (WHERE confidence >= 0.75 AND disagreement_risk = 'semantic') AS con, count(*) FILTER (WHERE NOT confidence >= 0.75) AS near FROM clone_cluster GROUP BY 1),
 m AS (SELECT k.repo_id, sum(h.loc)::BIGINT AS lines, count(*) AS calls, count(*) FILTER (WHERE q.module IS NOT NULL AND q.module <> h.module) AS re FROM x JOIN clone_cluster k USING (cluster_id) JOIN h ON h.function_id = x.function_id
   LEFT JOIN h q ON q.function_id = x.canonical_id WHERE k.confidence >= 0.75 AND x.function_id <> x.canonical_id GROUP BY 1),
@@ -382,18 +391,20 @@ u AS (SELECT repo_id, count(*) AS reusable FROM f WHERE is_pure AND is_exported
 a AS (SELECT repo_id, functions, files, modules, coalesce(dup, 0) AS duplicate_clusters, coalesce(con, 0) AS conflicts, coalesce(near, 0) AS near_duplicates, coalesce(lines, 0) AS lines_removable, coalesce(calls, 0) AS call_sites, coalesce(re, 0) AS reinvented, coalesce(reusable, 0) AS reusable
   FROM b LEFT JOIN c USING (repo_id) LEFT JOIN m USING (repo_id) LEFT JOIN u USING (repo_id)), w AS (SELECT *, 6 * conflicts + 2 * (duplicate_clusters - conflicts) + near_duplicates AS units FROM a)
 SELECT * EXCLUDE (units), CASE WHEN units = 0 THEN 100 ELSE floor(100 * (1 - least(1.0::DOUBLE, (units::DOUBLE / greatest(functions, 50)) / 0.27::DOUBLE)) + 0.5) END::INTEGER AS health_score FROM w"""
-)
+
+
+@query(REPO_STATS)
 def ag_repo_stats(spark, sf):
     return stats.repo_stats(functions(spark, sf), table(spark, sf, "clone_cluster"))
 
 
 @query(
-    f"WITH {_F}, b AS (SELECT repo_id, count(*) AS functions FROM f GROUP BY 1), c AS (SELECT repo_id, count(*) FILTER (WHERE confidence >= 0.75) AS dup, count(*) FILTER (WHERE NOT confidence >= 0.75) AS near FROM clone_cluster GROUP BY 1) "
-    "SELECT repo_id, count(*) AS repos, sum(functions)::BIGINT AS functions, sum(coalesce(dup, 0))::BIGINT AS duplicate_clusters, sum(coalesce(near, 0))::BIGINT AS near_duplicates FROM b LEFT JOIN c USING (repo_id) GROUP BY ROLLUP (repo_id)"
+    f"SELECT repo_id, count(*) AS repos, sum(functions)::BIGINT AS functions, sum(duplicate_clusters)::BIGINT AS duplicate_clusters, sum(near_duplicates)::BIGINT AS near_duplicates, sum(conflicts)::BIGINT AS conflicts, "
+    f"sum(lines_removable)::BIGINT AS lines_removable FROM ({REPO_STATS}) GROUP BY ROLLUP (repo_id)"
 )
 def ag_portfolio(spark, sf):
     out = stats.portfolio(stats.repo_stats(functions(spark, sf), table(spark, sf, "clone_cluster")))
-    return out.select("repo_id", "repos", "functions", "duplicate_clusters", "near_duplicates")
+    return out.select("repo_id", "repos", "functions", "duplicate_clusters", "near_duplicates", "conflicts", "lines_removable")
 
 
 _JUDGED = "j AS (SELECT lower(trim(label)) = 'clone' AS is_clone, cosine FROM labelled_pair WHERE label IS NOT NULL AND cosine IS NOT NULL)"
@@ -450,9 +461,10 @@ def _cells(spark, sf):
     return first.select("group_id", "input", "member", F.col("output").cast("string").alias("output"), F.lit("").alias("error"), F.col("output").cast("string").alias("key"), (F.col("member") % 97 == 0).alias("is_canonical"))
 
 
-@query(f"WITH {_CELLS} SELECT group_id, input, count(*) AS members, count(DISTINCT output) > 1 AS diverged FROM c GROUP BY ALL")
+@query(f"WITH {_CELLS} SELECT group_id, input, string_agg(member || '=' || output, ' ' ORDER BY member) AS results, count(DISTINCT output) > 1 AS diverged FROM c GROUP BY ALL")
 def ag_divergence(spark, sf):
-    return stats.divergence(_cells(spark, sf)).select("group_id", "input", F.size("results").cast("bigint").alias("members"), "diverged")
+    shown = F.array_join(F.transform("results", lambda r: F.concat_ws("=", r["member"].cast("string"), F.coalesce(r["error"], r["output"]))), " ")
+    return stats.divergence(_cells(spark, sf)).select("group_id", "input", shown.alias("results"), "diverged")
 
 
 @query(
@@ -482,10 +494,14 @@ def so_imports(spark, sf):
     return functions(spark, sf).select("function_id", F.array_join(ordering.distinct_imports(F.col("imports"), F.array(F.lit("./log"))), " ").alias("imports"))
 
 
-@query()
+@query(
+    """WITH x AS (SELECT cluster_id, unnest(list_concat(coalesce(probe_inputs, []), ['{"a": 1}', 'not json', '[ 1,  2 ]', '[1,2]'])) AS t FROM clone_cluster),
+p AS (SELECT cluster_id, json(t)::VARCHAR AS j FROM x WHERE json_valid(t) AND json_type(CASE WHEN json_valid(t) THEN t END) = 'ARRAY' GROUP BY ALL) SELECT cluster_id, string_agg(j, ' ' ORDER BY j) AS inputs FROM p GROUP BY 1"""
+)
 def so_probe_inputs(spark, sf):
     extra = F.array(F.lit('{"a": 1}'), F.lit("not json"), F.lit('[ 1,  2 ]'), F.lit("[1,2]"))
-    return table(spark, sf, "clone_cluster").select("cluster_id", ordering.json_arrays(F.concat("probe_inputs", extra)).alias("inputs"))
+    given = F.concat(F.coalesce("probe_inputs", F.array().cast("array<string>")), extra)
+    return table(spark, sf, "clone_cluster").select("cluster_id", F.array_join(F.array_sort(ordering.json_arrays(given)), " ").alias("inputs"))
 
 
 # Quality

@@ -8,8 +8,14 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
-def replace_partitions(df: DataFrame, path: str, by: str = "repo_id") -> None:
-    """Overwrite only the partitions that ``df`` has rows of."""
+def replace_partitions(df: DataFrame, path: str, by: str = "repo_id", scope: DataFrame | None = None) -> None:
+    """Overwrite only the partitions that ``df`` has rows of; those of ``scope`` (a table of ``by``) that it has none of become empty."""
+    spark = df.sparkSession
+    if scope is not None and exists(spark, path):
+        gone = scope.select(by).distinct().join(df.select(by).distinct(), by, "left_anti")
+        stored = spark.read.parquet(path)
+        if not stored.join(gone, by, "left_semi").isEmpty():
+            delete(spark, path, gone, by)
     df.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(by).parquet(path)
 
 
@@ -18,34 +24,42 @@ def exists(spark: SparkSession, path: str) -> bool:
     return where.getFileSystem(spark._jsc.hadoopConfiguration()).exists(where)
 
 
-def upsert(df: DataFrame, path: str, keys: list[str]) -> None:
-    """Insert rows, replacing those with the same keys: written beside the table, then swapped in by renames."""
-    spark = df.sparkSession
-    fresh = df.dropDuplicates(keys)
-    if exists(spark, path):
-        fresh = spark.read.parquet(path).join(fresh.select(*keys), keys, "left_anti").unionByName(fresh, allowMissingColumns=True)
+def _swap(spark: SparkSession, fresh: DataFrame, path: str, by: str | None = None) -> None:
+    """Write ``fresh`` beside the table, then move the old one away and the new one in; the old one goes last, and comes back if the move fails."""
     beside = f"{path.rstrip('/')}-{uuid.uuid4().hex[:8]}"
-    fresh.write.parquet(beside)
+    writer = fresh.write
+    (writer.partitionBy(by) if by else writer).parquet(beside)
     jvm = spark._jvm.org.apache.hadoop.fs
     files = jvm.Path(path).getFileSystem(spark._jsc.hadoopConfiguration())
-    old = jvm.Path(f"{beside}-old")
-    if files.exists(jvm.Path(path)):
-        files.rename(jvm.Path(path), old)
-    if not files.rename(jvm.Path(beside), jvm.Path(path)):
+    at, old = jvm.Path(path), jvm.Path(f"{beside}-old")
+    had = files.exists(at)
+    if had and not files.rename(at, old):
+        raise OSError(f"{path} couldn't be moved away; the new table is at {beside}")
+    if not files.rename(jvm.Path(beside), at):
+        if had:
+            files.rename(old, at)
         raise OSError(f"{beside} couldn't be moved to {path}")
-    files.delete(old, True)
+    if had:
+        files.delete(old, True)
 
 
-def delete(spark: SparkSession, path: str, keys: DataFrame) -> None:
-    """Delete the rows whose keys are in ``keys``."""
-    names = keys.columns
-    kept = spark.read.parquet(path).join(keys, names, "left_anti")
-    beside = f"{path.rstrip('/')}-{uuid.uuid4().hex[:8]}"
-    kept.write.parquet(beside)
-    jvm = spark._jvm.org.apache.hadoop.fs
-    files = jvm.Path(path).getFileSystem(spark._jsc.hadoopConfiguration())
-    files.delete(jvm.Path(path), True)
-    files.rename(jvm.Path(beside), jvm.Path(path))
+def upsert(df: DataFrame, path: str, keys: list[str], latest: str | None = None) -> None:
+    """Insert rows, replacing those with the same keys. Of several with the same keys the one with the highest ``latest`` (and else the highest values) stays."""
+    spark = df.sparkSession
+    rest = [c for c in df.columns if c not in keys]
+    if rest:
+        order = F.struct(*([latest] if latest else []), *[F.to_json(F.struct(*rest))])
+        fresh = df.groupBy(*keys).agg(F.max_by(F.struct(*rest), order).alias("_r")).select(*keys, "_r.*").select(*df.columns)
+    else:
+        fresh = df.distinct()
+    if exists(spark, path):
+        fresh = spark.read.parquet(path).join(fresh.select(*keys), keys, "left_anti").unionByName(fresh, allowMissingColumns=True)
+    _swap(spark, fresh, path)
+
+
+def delete(spark: SparkSession, path: str, keys: DataFrame, by: str | None = None) -> None:
+    """Delete the rows whose keys are in ``keys``; ``by``: the column that the table is partitioned by."""
+    _swap(spark, spark.read.parquet(path).join(keys, keys.columns, "left_anti"), path, by)
 
 
 def missing_totals(snapshots: DataFrame, functions: DataFrame) -> DataFrame:

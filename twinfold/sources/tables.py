@@ -91,7 +91,9 @@ def archives(spark: SparkSession, path: str, scope: str | None = None) -> DataFr
     return rows.where(text.is_source_path(F.col("file"))).withColumn("commit", F.coalesce(commit, F.lit("unknown")))
 
 
-def source_tree(spark: SparkSession, path: str) -> DataFrame:
-    """(file, contents, length) of a directory of sources, filtered by name and size before anything is read."""
-    found = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path)
-    return found.where(text.is_source_path(F.col("path")) & (F.col("length") <= MAX_FILE)).select(F.col("path").alias("file"), F.decode("content", "UTF-8").alias("contents"), "length")
+def source_tree(spark: SparkSession, path: str, max_file: int = MAX_FILE) -> DataFrame:
+    """(file, contents, length, skipped) of a directory of sources; a file over the limit isn't read, but comes out with the reason."""
+    found = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path).where(text.is_source_path(F.col("path")))
+    read = found.where(F.col("length") <= max_file).select(F.col("path").alias("file"), F.decode("content", "UTF-8").alias("contents"), "length", F.lit("").alias("skipped"))
+    left = found.where(F.col("length") > max_file).select(F.col("path").alias("file"), F.lit(None).cast("string").alias("contents"), "length", F.lit("too large").alias("skipped"))
+    return read.unionByName(left)
