@@ -6,7 +6,7 @@ differ in few bits where the texts share most tokens. The fingerprint is cut int
 word are the codewords of the binary Golay code, whose covering radius is 3: every word is at home at the one
 codeword within 3 bits, and is replicated to every codeword within 3 + 1. Words that differ in one bit must meet,
 words that differ in a few mostly do, and there are several words. Per anchor, homes are compared with all comers by
-the bits of a sketch; what passes is verified on the full sets.
+the bits of a sketch and met pairs by further bits; what passes is verified on the full sets.
 
 Texts with the same set are collapsed into one class first. An anchor that is home to too many classes is split into
 slices: each home lies in one slice, comers visit all of them.
@@ -42,6 +42,9 @@ THRESHOLD = 1
 PLAN = (6, 1)
 #: Bits of the sketch and how many may differ: where a fifth of the bits differs in expectation, 0.998 pass.
 SKETCH, SKETCH_DIFFER = 128, 39
+#: Further bits that take no part in the anchors, and how many of sketch and further bits together may differ: again
+#: where a fifth differs in expectation, 0.999 pass. Only what passes is joined with its full sets.
+FURTHER, ALL_DIFFER = 128, 71
 #: Length from which a token takes part in every hash function, and in how many others one of the rest does.
 LONG, SHORT_SHARE = 8, 8
 #: Homes of an anchor from which it is split.
@@ -126,7 +129,9 @@ def _describe(n_bits: int):
                 sizes = np.array([len(x) for x in column])
                 ends = np.cumsum(sizes)
                 starts = ends - sizes
-                marks = np.packbits(fingerprints(flat, starts, ends, n_bits), axis=1)
+                bits = fingerprints(flat, starts, ends, n_bits + FURTHER)
+                marks = np.packbits(bits[:, :n_bits], axis=1)
+                further = np.packbits(bits[:, n_bits:], axis=1).view(np.int64)
                 mixed = flat * np.uint64(0x9E3779B97F4A7C15)
                 if len(flat) >= RUN:
                     three = (mixed[:-2] ^ mixed[:-2] >> np.uint64(29)) * np.uint64(0xBF58476D1CE4E5B9) + (mixed[1:-1] ^ mixed[1:-1] >> np.uint64(31))
@@ -142,7 +147,8 @@ def _describe(n_bits: int):
                     sets.append(data)
                     keys.append(hashlib.blake2b(data, digest_size=16).digest())
                 yield pa.RecordBatch.from_arrays(
-                    [part.column("id"), part.column("_at"), pa.array(keys, pa.binary()), bytes_column(marks), pa.array(sets, pa.binary())], names=["id", "_at", "k", "mark", "runs"]
+                    [part.column("id"), part.column("_at"), pa.array(keys, pa.binary()), bytes_column(marks), pa.array(further[:, 0]), pa.array(further[:, 1]), pa.array(sets, pa.binary())],
+                    names=["id", "_at", "k", "mark", "f0", "f1", "runs"],
                 )
 
     return run
@@ -213,7 +219,7 @@ def _compare(batches):
                 keep = x != y
                 if keep.any():
                     x, y = x[keep], y[keep]
-                    yield pa.RecordBatch.from_arrays([pa.array(np.minimum(x, y)), pa.array(np.maximum(x, y))], names=["a", "b"])
+                    yield pa.RecordBatch.from_arrays([pa.array(np.minimum(x, y)), pa.array(np.maximum(x, y)), pa.array(differ[at, other][keep].astype(np.int32))], names=["a", "b", "differ"])
 
 
 def _verify(like: float):
@@ -245,13 +251,13 @@ def near_pairs(texts: DataFrame, like: float = LIKE, plan: tuple[int, int] | Non
     described = (
         texts.where(F.col("id").isNotNull())
         .select("id", "_at", hashed.alias("tokens"))
-        .mapInArrow(_describe(n_words * BITS), f"id {texts.schema['id'].dataType.simpleString()}, _at {texts.schema['_at'].dataType.simpleString()}, k binary, mark binary, runs binary")
+        .mapInArrow(_describe(n_words * BITS), f"id {texts.schema['id'].dataType.simpleString()}, _at {texts.schema['_at'].dataType.simpleString()}, k binary, mark binary, f0 long, f1 long, runs binary")
         .where(F.length("runs") > 0)
         .withColumn("row", F.monotonically_increasing_id())
     )
     described = stage(described, "p6-described")
     latest = described.groupBy("id").agg(F.max_by("k", F.struct("_at", "k")).alias("k"))
-    points = stage(described.groupBy("k").agg(F.min("row").alias("c"), F.first("mark").alias("mark")), "p6-points")
+    points = stage(described.groupBy("k").agg(F.min("row").alias("c"), *[F.first(c).alias(c) for c in ("mark", "f0", "f1")]), "p6-points")
     latest = stage(latest, "p6-latest")
     members = stage(salted_lookup(latest, points.select("k", "c"), "k", F.xxhash64("id")).select("id", "c"), "p6-members")
     free(latest)
@@ -266,12 +272,16 @@ def near_pairs(texts: DataFrame, like: float = LIKE, plan: tuple[int, int] | Non
         spread.mapInArrow(_anchors(n_words, fold, hot, False), "anchor long, slice int, home boolean, c long, s0 long, s1 long")
         .repartition(parts, "anchor", "slice")
         .sortWithinPartitions("anchor")
-        .mapInArrow(_compare, "a long, b long")
+        .mapInArrow(_compare, "a long, b long, differ int")
         .groupBy("a", "b")
-        .agg(F.count(F.lit(1)).alias("times"))
-        .select("a", "b")
+        .agg(F.max("differ").alias("differ"))
     )
-    met = stage(met, "p6-met")
+    all_met = stage(met, "p6-met")
+    more = points.select("c", "f0", "f1")
+    ends = all_met.join(more.withColumnsRenamed({"c": "a", "f0": "a0", "f1": "a1"}), "a").join(more.withColumnsRenamed({"c": "b", "f0": "b0", "f1": "b1"}), "b")
+    differ = F.col("differ") + F.bit_count(F.col("a0").bitwiseXOR(F.col("b0"))) + F.bit_count(F.col("a1").bitwiseXOR(F.col("b1")))
+    met = stage(ends.where(differ <= ALL_DIFFER).select("a", "b"), "p6-near")
+    free(all_met)
     sets = described.select(F.col("row").alias("c"), "runs")  # one exchange serves both joins
     both = met.join(sets.select(F.col("c").alias("a"), F.col("runs").alias("ra")), "a").join(sets.select(F.col("c").alias("b"), F.col("runs").alias("rb")), "b")
     pairs = both.select("a", "b", "ra", "rb").mapInArrow(_verify(like), "a long, b long, share double")
