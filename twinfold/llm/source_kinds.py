@@ -34,11 +34,13 @@ from ..runtime import salted_lookup, stage, width
 KINDS = ("generated", "minified", "third_party", "data")
 #: Features: hashed n-grams of these lengths, hashed path components, hashed words of the leading comments.
 #: One more is the share of runs in known files. The masked classifiers see the first ``MASKED``.
-GRAMS, GRAM_DIMS, PATH_DIMS, HEAD_DIMS = (3, 4, 5), 1 << 13, 1 << 9, 1 << 10
+GRAMS, GRAM_DIMS, PATH_DIMS, HEAD_DIMS = (3, 4, 5), 1 << 13, 1 << 11, 1 << 10
 #: Rows for fitting: of each kind, and of files without a sign of any kind.
 PER_KIND, NEGATIVES = 500, 1600
 #: Score from which a file without a sign is taken out of the negatives, and the highest threshold.
 ALIKE = 0.3
+#: How far into the margin a file must lie for the masked view, which has no word of the file about itself to go by.
+MARGIN = 0.5
 MASKED = GRAM_DIMS + PATH_DIMS
 DIMS = MASKED + HEAD_DIMS + 1
 #: Share of a file's five-token runs in known files from which it is a seed, and the number of known runs up to which
@@ -181,8 +183,7 @@ class Model:
                 for f in (0, 1):
                     train = np.flatnonzero(use & (fold != f))
                     if (y[train] > 0).any() and (y[train] < 0).any():
-                        other = np.flatnonzero(fold == f)
-                        strange[other] |= self._score(x[other], fit(x, y, train, MASKED)) > ALIKE
+                        strange |= (fold == f) & (self._score(x, fit(x, y, train, MASKED)) > ALIKE)
             suspect = clean & strange
         for kind, y in of.items():
             use = ((y > 0) | clean) & ~suspect
@@ -191,20 +192,21 @@ class Model:
             train = use & ~held
             if not (y[train] > 0).any() or not (y[train] < 0).any():
                 train = use
-            for dims, view in ((MASKED, (self.weights, self.thresholds, self.report)), (DIMS, self.opened)):
+            for dims, view, share in ((MASKED, (self.weights, self.thresholds, self.report), MARGIN), (DIMS, self.opened, 0.0)):
                 view[0][kind] = fit(x, y, np.flatnonzero(train), dims)
-                self._settle(kind, view, x[use & held], y[use & held])
+                self._settle(kind, view, self._score(x, view[0][kind])[use & held], y[use & held], share)
 
     @staticmethod
     def _score(x: np.ndarray, w: np.ndarray) -> np.ndarray:
         return x[..., : len(w) - 1] @ w[:-1] + w[-1]
 
-    def _settle(self, kind: str, view: tuple[dict, dict, dict], x: np.ndarray, y: np.ndarray) -> None:
-        """The threshold: what nearly all held-out negatives stay under, but not under 0."""
-        weights, thresholds, report = view
-        s = self._score(x, weights[kind]) if len(x) else np.zeros(0)
+    @staticmethod
+    def _settle(kind: str, view: tuple[dict, dict, dict], s: np.ndarray, y: np.ndarray, share: float) -> None:
+        """The threshold: ``share`` of the way to the margin from what nearly all held-out negatives stay under, but not under 0. ``s``: the held-out scores."""
+        _, thresholds, report = view
         worst = float(np.quantile(s[y < 0], 0.998)) if (y < 0).any() else 0.0
-        thresholds[kind] = min(max(0.0, worst), ALIKE)
+        worst = min(max(0.0, worst), ALIKE)
+        thresholds[kind] = worst + share * (1 - worst)
         said = s > thresholds[kind]
         hit = int((said & (y > 0)).sum())
         report[kind] = (hit / max(1, int(said.sum())), hit / max(1, int((y > 0).sum())))
@@ -342,7 +344,9 @@ def learn(files: DataFrame, third_party: DataFrame | None = None) -> Model:
     x = np.zeros((len(rows), DIMS), np.float32)
     for k, data in enumerate(rows["x"]):
         x[k] = np.frombuffer(data, np.float16)
-    return Model(x, [set(k) for k in rows["kinds"]], rows["held"].to_numpy(bool))
+    kinds, held = [set(k) for k in rows["kinds"]], rows["held"].to_numpy(bool)
+    del rows
+    return Model(x, kinds, held)
 
 
 def classify(files: DataFrame, third_party: DataFrame | None = None, model: Model | None = None) -> DataFrame:
