@@ -402,7 +402,7 @@ def _search(forest, n_bytes: int, k: int | None, slack: float, stop: float):
             asks = np.concatenate([-2 * shadow, np.ones((len(c), 1), np.float32), (size - stop * reach - 1e-4)[:, None]], axis=1)
             place = np.full(len(c), -1)
             place[home] = np.arange(len(home))
-            step = max(1, 3_000_000 // len(home))
+            step = max(1, 300_000 // len(home))  # a product that stays in the cache
             for start in range(0, len(ask), step):
                 rows = ask[start : start + step]
                 beyond = (asks[rows] @ points).ravel()
