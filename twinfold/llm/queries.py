@@ -114,9 +114,9 @@ ORACLE_SQL = {
     "p2_found": f"WITH RECURSIVE {_VECTORS}, w AS (SELECT a AS v, a AS w FROM s UNION SELECT w.v, s.b FROM w JOIN s ON w.w = s.a) SELECT min(w) AS cluster_key, v AS function_id FROM w GROUP BY v",
     "p2_clusters": f"""WITH RECURSIVE {_VECTORS}, w AS (SELECT a AS v, a AS w FROM s UNION SELECT w.v, s.b FROM w JOIN s ON w.w = s.a), k AS (SELECT min(w) AS cluster_key, v AS id FROM w GROUP BY v),
 p AS (SELECT x.cluster_key, list_cosine_similarity(a.v, b.v) AS c FROM k x JOIN k y ON x.cluster_key = y.cluster_key AND x.id < y.id JOIN u a ON a.id = x.id JOIN u b ON b.id = y.id),
-c AS (SELECT cluster_key, round(avg(c), 5) AS cohesion FROM p GROUP BY 1), i AS (SELECT k.cluster_key, k.id, round(sum(s.c), 4) AS inner FROM k JOIN s ON s.a = k.id GROUP BY ALL),
-t AS (SELECT * FROM i QUALIFY row_number() OVER (PARTITION BY cluster_key ORDER BY inner DESC, id) <= 3)
-SELECT c.cluster_key, (SELECT count(*) FROM k WHERE k.cluster_key = c.cluster_key) AS size, c.cohesion, (SELECT string_agg(t.id, ' ' ORDER BY t.inner DESC, t.id) FROM t WHERE t.cluster_key = c.cluster_key) AS typical_ids FROM c""",
+c AS (SELECT cluster_key, round(avg(c), 5) AS cohesion FROM p GROUP BY 1), i AS (SELECT k.cluster_key, k.id, round(sum(s.c), 4) AS held FROM k JOIN s ON s.a = k.id GROUP BY ALL),
+t AS (SELECT * FROM i QUALIFY row_number() OVER (PARTITION BY cluster_key ORDER BY held DESC, id) <= 3)
+SELECT c.cluster_key, (SELECT count(*) FROM k WHERE k.cluster_key = c.cluster_key) AS size, c.cohesion, (SELECT string_agg(t.id, ' ' ORDER BY t.held DESC, t.id) FROM t WHERE t.cluster_key = c.cluster_key) AS typical_ids FROM c""",
     "p3_found": _P3_SQL,
     "p5_found": f"WITH {_VECTORS}, k AS (SELECT * FROM s QUALIFY row_number() OVER (PARTITION BY a ORDER BY round(c, 12) DESC, b) <= 5) SELECT DISTINCT least(a, b) AS function_a, greatest(a, b) AS function_b FROM k",
     "p5_nearest": f"""WITH {_USABLE}, c AS (SELECT a.id AS function_id, b.id AS neighbour_id, list_cosine_similarity(a.v, b.v) AS c FROM u a JOIN u b ON a.id <> b.id
