@@ -6,14 +6,14 @@ import uuid
 
 from pyspark.sql import functions as F
 
-from ..functions import text
+from ..functions import text, vectors
 from ..operators import diff, members, ordering, quality, reports, similarity, stats
 from ..params import DEFAULTS
 from ..runtime import shared_dir
 from ..sources import sinks, tables
 from ..streaming import windows
 from . import analysis, judge
-from .queries import _CELLS, _EXPLODED, _F, REPO_STATS, _cells, _patches, functions, query, table
+from .queries import _CELLS, _EXPLODED, _F, _RANGES, _WILD, _X, _Y, ORACLE_SQL, REPO_STATS, _cells, _patches, functions, query, table
 
 # The tables hold no results of runs: a cluster counts as run if it has probe inputs, and all its rows as differing if its risk is semantic.
 _PROVEN = "coalesce(len(probe_inputs) > 0 AND disagreement_risk = 'semantic', false)"
@@ -290,6 +290,58 @@ def ud_nearest(spark, sf):
     return analysis.nearest(rows.withColumn("vector", F.reverse("vector")), rows).select("id", "match", F.round("similarity", 6).alias("similarity"))
 
 
+_FITS = (
+    f"(len(oa) = 0 OR len(ob) = 0 OR EXISTS (SELECT 1 FROM unnest(oa) AS t(x), unnest(ob) AS u(y) WHERE {_X} {_WILD} OR {_Y} {_WILD} OR {_X} = {_Y})) "
+    f"AND NOT EXISTS (SELECT 1 FROM generate_series(1, least(len(ia), len(ib))) AS g(k), LATERAL (SELECT ia[g.k] AS x, ib[g.k] AS y) WHERE NOT ({_X} {_WILD} OR {_Y} {_WILD} OR {_X} = {_Y}))"
+)
+
+
+@query(
+    f"WITH {_F}, c AS (SELECT function_id AS id, embedding AS v, least(len(params), 3) AS arity, is_pure, embed_version IS NOT DISTINCT FROM 'intent-v3' AS known, coalesce(fingerprint.inputs, []) AS i, coalesce(fingerprint.outputs, []) AS o FROM f "
+    "WHERE fingerprint IS NOT NULL AND len(embedding) > 0), s AS (SELECT a.id, b.id AS match, coalesce(nullif(list_cosine_similarity(a.v, b.v), 'NaN'::DOUBLE), 0) AS c, a.i AS ia, b.i AS ib, a.o AS oa, b.o AS ob FROM c a JOIN c b "
+    f"ON NOT a.known AND b.known AND a.arity = b.arity AND a.is_pure = b.is_pure AND len(a.v) = len(b.v)), m AS (SELECT id, match, c FROM s WHERE {_FITS} QUALIFY row_number() OVER (PARTITION BY id ORDER BY round(c, 9) DESC, match) = 1) "
+    "SELECT id, match, floor(c * 100 + 0.5) / 100 AS similarity, CASE WHEN c >= 0.8 THEN 'near' ELSE 'novel' END AS state FROM m UNION ALL SELECT id, NULL, NULL, 'novel' FROM c WHERE NOT known AND id NOT IN (SELECT id FROM m)"
+)
+def ud_guard(spark, sf):
+    """Functions whose vector is of another recipe, as if they were new, against those of the current one."""
+    rows = functions(spark, sf)
+    known = F.col("embed_version").eqNullSafe(F.lit(DEFAULTS.embed_version))
+    out = analysis.guard(rows.where(~known), rows.where(known), table(spark, sf, "clone_cluster"), emit_unmatched=True)
+    return out.select("id", "match", "similarity", "state")
+
+
+@query(f"SELECT r.file_id, s.file AS filename, r.low, r.high FROM ({_RANGES}) r JOIN ({ORACLE_SQL['fn_source_paths']}) s ON s.file_id = r.file_id WHERE s.is_source AND r.file_id % 7 <> 0")
+def pf_changed_ranges(spark, sf):
+    """Every seventh file counts as removed by the change."""
+    files = table(spark, sf, "source_file").select("file_id", F.col("file").alias("filename")).distinct()
+    status = F.when(F.col("file_id") % 7 == 0, "removed").otherwise("modified")
+    return diff.changed_ranges(_patches(spark, sf).join(files, "file_id").withColumn("status", status), ["file_id"]).select("file_id", "filename", "low", "high")
+
+
+@query(
+    "WITH e AS (SELECT vec_id, embedding::DOUBLE[] AS v FROM embeddings) SELECT vec_id, round(v[1] / sqrt(list_sum(list_transform(v, lambda x: x * x))), 6) AS first, "
+    "round(list_sum(list_transform(v, lambda x: x * x)) / list_sum(list_transform(v, lambda x: x * x)), 6) AS length FROM e"
+)
+def fn_unit_vectors(spark, sf):
+    unit = table(spark, sf, "embeddings").select("vec_id", vectors.unit(F.col("embedding").cast("array<double>")).alias("u"))
+    return unit.select("vec_id", F.round(F.col("u")[0], 6).alias("first"), F.round(F.aggregate("u", F.lit(0.0), lambda s, x: s + x * x), 6).alias("length"))
+
+
+@query("SELECT doc_id, coalesce(strftime(created_at, '%d %b %Y'), 'unknown') AS created, lang AS other FROM documents")
+def fn_shown_days(spark, sf):
+    """Instants shown as days; what isn't an instant stays as it is."""
+    rows = table(spark, sf, "documents")
+    return rows.select("doc_id", text.shown_day(F.coalesce(F.date_format("created_at", "yyyy-MM-dd'T'HH:mm:ssXXX"), F.lit("unknown"))).alias("created"), text.shown_day(F.col("lang")).alias("other"))
+
+
+@query(f"WITH {_F}, r AS (SELECT repo_id, row_number() OVER (PARTITION BY repo_id ORDER BY file, start_line, function_id) AS p FROM f) SELECT repo_id, count(*) FILTER (WHERE p <= 40) AS kept, count(*) FILTER (WHERE p > 40) AS left_out FROM r GROUP BY 1")
+def sl_capped(spark, sf):
+    """The functions that a cap of 40 a repository keeps, and those it reports as left out."""
+    kept, rest = ordering.capped(functions(spark, sf), [F.col("file"), F.col("start_line"), F.col("function_id")], 40, ["repo_id"])
+    both = kept.select("repo_id", F.lit(True).alias("k")).unionByName(rest.select("repo_id", F.lit(False).alias("k")))
+    return both.groupBy("repo_id").agg(F.count_if("k").alias("kept"), F.count_if(~F.col("k")).alias("left_out"))
+
+
 # Writers and readers, over tables in the work folder
 
 
