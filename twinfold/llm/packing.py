@@ -3,7 +3,7 @@
 A document goes where the sum, over all gaps, of the squared number of open containers with that gap becomes
 smallest; a new container is one of the choices. The rule keeps the gaps of the open containers spread out, so that
 most sizes find a gap that they fill. Documents are dealt into shards of bounded size by a hash of their identifier
-and each shard is packed by one task. Containers that a shard leaves half empty are unpacked and dealt into fewer,
+and each shard is packed by one task. Containers of which more than ``LOOSE`` is left are unpacked and dealt into fewer,
 again bounded, shards, until one shard is left or nothing more is saved.
 
 Defined results
