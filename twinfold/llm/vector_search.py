@@ -54,6 +54,8 @@ TOGETHER = 4
 #: Multiple of the squared k-th distance of the own leaf to look for in others: a query then goes as far alone as both
 #: ends of a pair would with the plain distance.
 WIDER = 2.0
+#: Parts in which met pairs are verified: a pair carries a whole vector through a shuffle.
+VERIFIED = 2
 #: Vectors from which the upper splits are taken (a bounded sample; every vector is indexed), levels whose splits come
 #: from it, and vectors a leaf for the deeper ones.
 SAMPLE, TOP_LEVELS, PER_LEAF = 20_000, 8, 32
@@ -499,8 +501,12 @@ def search(points: DataFrame, k: int | None, min_cosine: float | None, trees: in
         free(met)
         met = new
     left, right = points.select(F.col("c").alias("a"), F.col("vector").alias("va")), points.select(F.col("c").alias("b"), F.col("vector").alias("vb"))
-    both = met.join(left, "a").join(right, "b").select("a", "b", "va", "vb")
-    pairs = stage(both.mapInArrow(_verify(-1.0 if min_cosine is None else min_cosine), "a long, b long, cosine double"), "p5-pairs")
+    pairs = None
+    for k in range(VERIFIED):
+        some = met.where(F.pmod(F.xxhash64("a"), F.lit(VERIFIED)) == k)
+        both = some.join(left, "a").join(right, "b").select("a", "b", "va", "vb")
+        part = stage(both.mapInArrow(_verify(-1.0 if min_cosine is None else min_cosine), "a long, b long, cosine double"), "p5-pairs")
+        pairs = part if pairs is None else pairs.unionByName(part)
     free(met, points, hot)
     return pairs
 
