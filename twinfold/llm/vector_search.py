@@ -350,7 +350,7 @@ def _bounds(k: int, reach: float):
     return run
 
 
-def _addresses(forest, some: list[int], stops: np.ndarray, homes_only: bool = False):
+def _addresses(forest, some: list[int], stops: np.ndarray, homes_only: bool = False, whole: bool = False):
     def run(batches):
         import pyarrow as pa
 
@@ -361,7 +361,7 @@ def _addresses(forest, some: list[int], stops: np.ndarray, homes_only: bool = Fa
                 for t in some:
                     yield pa.RecordBatch.from_arrays([pa.array(trees.down(t, unit @ trees.directions[t], trees.levels) + (t << 40))], names=["leaf"])
                 continue
-            codes = _codes(unit)
+            codes = unit.view(np.uint8) if whole else _codes(unit)
             for t in some:
                 row, node, home = trees.visits(t, unit, reach, stops)
                 yield pa.RecordBatch.from_arrays(
@@ -381,8 +381,20 @@ def _kth(row: np.ndarray, value: np.ndarray, k: int) -> tuple[np.ndarray, np.nda
     return row[last], value[last]
 
 
-def _search(forest, n_bytes: int, k: int | None, slack: float, stop: float):
-    """Pairs (a, b) of whole leaves: queries against the leaf's points, in rings of projected distance."""
+def _best(row: np.ndarray, other: np.ndarray, value: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The entries of each row with its ``k`` largest values."""
+    order = np.lexsort((-value, row))
+    row = row[order]
+    first = np.flatnonzero(np.r_[True, row[1:] != row[:-1]])
+    keep = np.arange(len(row)) - np.repeat(first, np.diff(np.r_[first, len(row)])) < k
+    return row[keep], other[order[keep]], value[order[keep]]
+
+
+def _search(forest, n_bytes: int, k: int | None, slack: float, stop: float, whole: bool = False):
+    """Pairs (a, b) of whole leaves: queries against the leaf's points, in rings of projected distance.
+
+    ``whole``: the points come as full vectors; then the ``k`` best of each query come out, with their cosine.
+    """
 
     def run(batches):
         import pyarrow as pa
@@ -396,7 +408,8 @@ def _search(forest, n_bytes: int, k: int | None, slack: float, stop: float):
             home, ask = np.flatnonzero(~visit), np.flatnonzero(reach >= 0)
             if not len(home) or not len(ask):
                 continue
-            unit = _decoded(fixed_bytes(table, "code", n_bytes))[:, : trees.directions.shape[1]]
+            unit = fixed_bytes(table, "code", n_bytes)
+            unit = unit.view(np.float32) if whole else _decoded(unit)[:, : trees.directions.shape[1]]
             shadow = unit @ trees.directions[table.column("leaf")[0].as_py() >> 40]
             names, size = c[home], (shadow * shadow).sum(1)
             # one product gives the squared projected distance less the one at which a query stops
@@ -414,7 +427,7 @@ def _search(forest, n_bytes: int, k: int | None, slack: float, stop: float):
                 if k is None:  # two points of the leaf meet once
                     keep = (place[rows[at]] < 0) | (place[rows[at]] < other)
                     at, other, apart = at[keep], other[keep], apart[keep]
-                limit, found_at, found_sim = reach[rows].copy(), [], []
+                limit, found_at, found_sim, held = reach[rows].copy(), [], [], []
                 done = np.zeros(len(at), bool)
                 for ring in RINGS if k else RINGS[-1:]:
                     here = np.flatnonzero(~done & (apart <= ring * stop * limit[at] + 1e-4))
@@ -428,7 +441,12 @@ def _search(forest, n_bytes: int, k: int | None, slack: float, stop: float):
                         sim = np.einsum("ij,ij->i", unit[rows[i]], unit[home[j]])
                     good = (sim >= 1 - limit[i] / 2 - slack) & (c[rows[i]] != names[j])  # in a sliced leaf a point also visits itself
                     i, j, sim = i[good], j[good], sim[good]
-                    if len(i):
+                    if whole and len(i):
+                        held.append((i, j, sim))
+                        held = [_best(*map(np.concatenate, zip(*held)), k)]
+                        row, least = _kth(held[0][0], held[0][2], k)
+                        limit[row] = np.minimum(limit[row], 2 - 2 * least)
+                    elif len(i):
                         x, y = c[rows[i]], names[j]
                         yield pa.RecordBatch.from_arrays([pa.array(np.minimum(x, y)), pa.array(np.maximum(x, y))], names=["a", "b"])
                         if k and ring < RINGS[-1]:
@@ -436,6 +454,9 @@ def _search(forest, n_bytes: int, k: int | None, slack: float, stop: float):
                             found_sim.append(sim)
                             row, least = _kth(np.concatenate(found_at), np.concatenate(found_sim), k)
                             limit[row] = np.minimum(limit[row], 2 - 2 * (least - slack))
+                for i, j, sim in held:
+                    x, y = c[rows[i]], names[j]
+                    yield pa.RecordBatch.from_arrays([pa.array(np.minimum(x, y)), pa.array(np.maximum(x, y)), pa.array(sim.astype(np.float64))], names=["a", "b", "cosine"])
 
     return run
 
@@ -457,7 +478,9 @@ def search(points: DataFrame, k: int | None, min_cosine: float | None, trees: in
     """(a, b, cosine) with a < b: the pairs of classes that a search from either side meets and verifies.
 
     ``points``: (c, vector, reach); a ``reach`` below 0 marks a point that asks nothing. With ``k`` the pairs hold the
-    k nearest of every query, without it all pairs of at least ``min_cosine``. ``trees``: as many as needed if not given.
+    k nearest of every query, without it all pairs of at least ``min_cosine``. With ``k`` and no ``min_cosine`` every
+    leaf gives whole vectors' k best of each query, so that far neighbours aren't verified pair by pair: meant for few
+    queries, as each meets nearly all leaves. ``trees``: as many as needed if not given.
     """
     spark = points.sparkSession
     n = points.count()
@@ -468,6 +491,7 @@ def search(points: DataFrame, k: int | None, min_cosine: float | None, trees: in
     fitted = build(points, n, leaf, trees, levels)
     forest, stops, dimensions = spark.sparkContext.broadcast(fitted), stop_distances(miss, levels), fitted.directions.shape[1]
     reach = 4.0 if min_cosine is None else 2 - 2 * min_cosine
+    whole = k is not None and min_cosine is None
     if k:
         leaves = points.mapInArrow(_first_leaves(forest), "leaf long, c long, vector array<float>, reach float").repartition(max(width(spark), n // 20_000), "leaf").sortWithinPartitions("leaf")
         points = stage(leaves.mapInArrow(_bounds(k, reach), "c long, vector array<float>, reach float"), "p5-bounded")
@@ -482,7 +506,7 @@ def search(points: DataFrame, k: int | None, min_cosine: float | None, trees: in
     met = None
     for first in range(0, trees, TOGETHER):
         some = list(range(first, min(first + TOGETHER, trees)))
-        visits = points.mapInArrow(_addresses(forest, some, stops), "leaf long, c long, reach float, code binary")
+        visits = points.mapInArrow(_addresses(forest, some, stops, whole=whole), "leaf long, c long, reach float, code binary")
         if split:
             # at most n / (HOT_LEAF * leaf) entries of 12 bytes a tree
             slices = F.when(F.col("slices").isNull(), F.array(F.lit(0))).when(F.col("c") >= 0, F.array(F.pmod(F.xxhash64("c"), F.col("slices")).cast("int")))
@@ -491,15 +515,20 @@ def search(points: DataFrame, k: int | None, min_cosine: float | None, trees: in
             home = visits.join(F.broadcast(hot), "leaf", "left")
             asks = home.where((F.col("c") >= 0) & (F.col("reach") >= 0) & F.col("slices").isNotNull()).withColumn("c", F.bitwise_not("c"))
             visits = home.unionByName(asks).withColumn("slice", slices).select((F.col("leaf") + F.shiftleft(F.col("slice").cast("long"), 24)).alias("leaf"), "c", "reach", "code")
+        met_rows = _search(forest, dimensions * 4, k, 0.0, stop, True) if whole else _search(forest, (dimensions + 1) // 2, k, CODE_SLACK, stop)
         pairs = (
             visits.repartition(max(width(spark), n * len(some) // 20_000), "leaf")
             .sortWithinPartitions("leaf")
-            .mapInArrow(_search(forest, (dimensions + 1) // 2, k, CODE_SLACK, stop), "a long, b long")
+            .mapInArrow(met_rows, "a long, b long" + ", cosine double" * whole)
         )
         both = pairs if met is None else pairs.unionByName(met)
-        new = stage(both.groupBy("a", "b").agg(F.count(F.lit(1)).alias("times")).select("a", "b"), "p5-met")
+        once = both.groupBy("a", "b").agg(F.max("cosine").alias("cosine")) if whole else both.groupBy("a", "b").agg(F.count(F.lit(1)).alias("times")).select("a", "b")
+        new = stage(once, "p5-met")
         free(met)
         met = new
+    if whole:
+        free(points, hot)
+        return met
     left, right = points.select(F.col("c").alias("a"), F.col("vector").alias("va")), points.select(F.col("c").alias("b"), F.col("vector").alias("vb"))
     pairs = None
     for k in range(VERIFIED):
