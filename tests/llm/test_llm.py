@@ -454,6 +454,49 @@ def test_subjects_of_invented_documents(spark):
     assert subjects.found(d.limit(0), area, label).count() == 0
 
 
+def _invented(rng, n_subjects, plain):
+    words = [[f"{a}{b}" for b in ("ka", "lo", "mi", "nu", "po", "ri", "sa", "tu", "ve", "zo")] for a in "bal cem dir fon gul hap jos kev lum mer nop qua".split()[:n_subjects]]
+
+    def paragraph(k):
+        return " ".join(x for _ in range(8) for x in (rng.choice(plain), rng.choice(words[k]), rng.choice(plain)))
+
+    return [f"s{k}" for k in range(n_subjects)], paragraph
+
+
+def _found(spark, docs, labels, names):
+    d = spark.createDataFrame(docs, "doc_id long, text string")
+    area = spark.createDataFrame([(s, "x") for s in names], "subject string, scope string")
+    return {tuple(r) for r in subjects.found(d, area, spark.createDataFrame(labels, "doc_id long, subject string")).collect()}
+
+
+def test_subject_that_is_also_in_many_documents_of_others(spark):
+    rng = random.Random(1)
+    names, paragraph = _invented(rng, 12, [f"{a}{b}{c}" for a in "rst" for b in "aeiou" for c in ("ken", "ling", "mas", "dorf", "tal", "win", "bert", "gen")])
+    docs, labels, truth = [], [], set()
+    for k in range(600):
+        own, second = k % 12, k % 12 and rng.random() < 0.16  # a sixth of the others deal with s0, too, and their label doesn't say so
+        docs.append((k, paragraph(own) + ("\n\n" + paragraph(0) if second else "")))
+        truth |= {(k, names[own])} | ({(k, "s0")} if second else set())
+        if k < 360:
+            labels.append((k, names[own]))
+    got = _found(spark, docs, labels, names)
+    assert len(truth & got) >= 0.97 * len(truth) and len(got - truth) <= 0.03 * len(truth)
+
+
+def test_association_counts_documents(spark):
+    units = spark.createDataFrame([(1, [0, 1]), (1, [0]), (1, [0, 2]), (2, [0]), (3, [1]), (4, [2])], "doc_id long, w array<int>")
+    labels = spark.createDataFrame([(1, " A"), (1, "a"), (2, "b"), (3, "a"), (3, "b")], "doc_id long, subject string")
+    assert subjects.association(units, labels, ["a", "b"], 3, "doc_id").tolist() == [[1.0, 1.0], [1.0, 0.0], [1.0, 0.0]]
+
+
+def test_words_that_labels_settle():
+    held = np.array([[40.0, 2.0, 3.0], [40.0, 38.0, 41.0], [1.0, 0.0, 0.0], [0.0, 0.0, 0.0], [0.0, 30.0, 60.0]])
+    not_own, firm = subjects.evidence(held)
+    assert firm.tolist() == [[True, False, False], [False] * 3, [False] * 3, [False] * 3, [False] * 3]
+    assert not_own[0].tolist() == [False, True, True] and not_own[1].all() and not not_own[2:4].any()
+    assert not subjects.evidence(held[:, :1])[0].any() and not subjects.evidence(held[:, :1])[1].any()
+
+
 def test_digamma():
     x = np.array([0.1, 1.0, 3.5, 40.0])
     assert np.log(subjects._exp_digamma(x)) == pytest.approx([-10.4237549, -0.5772157, 1.1031566, 3.6763274], abs=1e-5)

@@ -4,9 +4,11 @@ The unit is a paragraph or code block; identifiers are split into their words. T
 units in parallel, its expected counts are summed by topic and word as an ordinary aggregation. The fit is incremental:
 the units are dealt into blocks, the topics are re-estimated after each block from the latest counts of all blocks, and
 passes over all units follow each other until the topics stand still. Topics start from the words of labelled documents
-(one topic a subject) and from the corpus (background topics), which settles their order but not their content. Then
-each topic's top terms are inspected: a topic stands for the subject with which most of the weight of these terms is
-associated in the labelled documents, or for none. A unit deals with a subject if the proportion of the subject's topics
+(one topic a subject) and from the corpus (background topics), which settles their order but not their content. What the
+labelled documents show of a word holds throughout the fit: a word that is not a subject's has no place in its topic, and
+a word that is a subject's own has little in the background; on all other words the topics are free. Then each topic's
+top terms are inspected: a topic stands for the subject with which the weight of these terms is associated in the
+labelled documents, far more than with any other, or for none. A unit deals with a subject if the proportion of the subject's topics
 among its different words makes up enough of them; a passing mention makes up one or two.
 
 Defined results
@@ -38,8 +40,14 @@ ALPHA, ETA = 0.1, 0.01
 #: Words kept: units that hold the word, at least and as a share at most, and the number of words with a place of their
 #: own; where there are more, the rest share ``SLOTS`` places by a hash, so that none is dropped.
 LEAST_UNITS, MOST_SHARE, WORDS, SLOTS = 4, 0.30, 20_000, 1 << 14
-#: Top terms that are inspected, and the share of their weight that one subject must hold.
-TOP_TERMS, CLEAR = 25, 0.5
+#: Frequency of a word in the documents labelled with a subject as a multiple of that in the others: the word is certainly
+#: not the subject's if it is below the first, and its own if it is above the second, each by a standard error at least.
+NOT_OWN, FIRM = 2.0, 4.0
+#: Share of the occurrences of a subject's own word that the background may hold: passing mentions.
+PASSING = 0.05
+#: Top terms that are inspected, the share of their weight that is a subject's, and how often it is that of any other
+#: subject. A share of all subjects' weight would depend on their number and on how many documents deal with several.
+TOP_TERMS, LEAST_OWN, CLEAR = 25, 0.25, 2.0
 #: Different words that the proportion of a subject must make up in a unit.
 DIFFERENT = 2.6
 
@@ -189,11 +197,15 @@ def _normal(counts: np.ndarray) -> np.ndarray:
 
 
 def association(units: DataFrame, labels: DataFrame, subjects: list[str], n_words: int, id_col: str) -> np.ndarray:
-    """(words, subjects): labelled units that hold the word, of documents with a single subject."""
+    """(words, subjects): labelled documents that hold the word, of those with a single subject.
+
+    Units of a document aren't independent: in a language with few labelled documents one of them would settle its words.
+    """
     clean = F.lower(F.trim(F.regexp_replace("subject", r"^\s+|\s+$", "")))
     known = labels.where(F.col(id_col).isNotNull()).select(id_col, clean.alias("s")).where(F.col("s").isin([s.lower() for s in subjects]))
     single = known.groupBy(id_col).agg(F.collect_set("s").alias("all")).where(F.size("all") == 1).select(id_col, F.col("all")[0].alias("s"))
-    rows = units.join(single, id_col).select("s", F.explode("w").alias("w")).groupBy("s", "w").agg(F.count(F.lit(1)).alias("n")).toPandas()
+    words = units.join(single, id_col).select(id_col, "s", F.explode("w").alias("w")).distinct()
+    rows = words.groupBy("s", "w").agg(F.count(F.lit(1)).alias("n")).toPandas()
     out = np.zeros((n_words, len(subjects)))
     place = {s.lower(): k for k, s in enumerate(subjects)}
     for s, w, n in zip(rows["s"], rows["w"], rows["n"]):
@@ -208,6 +220,18 @@ def lift(held: np.ndarray) -> np.ndarray:
     return own * (held / (held + 1.5))
 
 
+def evidence(held: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(words, subjects) twice: whether a word is certainly not a subject's, and whether it is certainly its own.
+
+    ``held`` is compared with the other subjects' labelled documents; rare words are neither.
+    """
+    size, others = held.sum(0), held.sum(1, keepdims=True) - held
+    size, size_of_others = np.maximum(size, 1.0), np.maximum(size.sum() - size, 1.0)
+    not_own = (held + np.sqrt(held + 1)) / size < NOT_OWN * (others - np.sqrt(others)) / size_of_others
+    firm = (held - np.sqrt(held)) / size > FIRM * (others + np.sqrt(others + 1)) / size_of_others
+    return not_own, firm
+
+
 class Topics:
     """The fitted topics: words, chances of the words, and the subject that each topic stands for."""
 
@@ -237,13 +261,22 @@ def fit(units: DataFrame, words: list[str], held: np.ndarray, subjects: list[str
     start[:, :n_subjects] = corpus[:, None] * np.where(own > 0.3, own, 0.0) ** 2 + 1e-3
     rest = corpus * common * (1 - own.max(1, initial=0.0)) + 1e-3
     start[:, n_subjects:] = rest[:, None] * rng.gamma(2.0, 0.5, (n_words, BACKGROUND))
-    beta = _normal(start + ETA)
+    not_own, firm = evidence(held)
+    known = firm.any(1)
+
+    def topics_of(counts: np.ndarray) -> np.ndarray:
+        counts = counts + ETA
+        counts[:, :n_subjects][not_own] *= 1e-9
+        counts[known, n_subjects:] *= np.minimum(1.0, PASSING * corpus[known] / counts[known, n_subjects:].sum(1))[:, None]
+        return _normal(counts)
+
+    beta = topics_of(start)
     blocks = [start / BLOCKS for _ in range(BLOCKS)]  # until a block is seen the start stands for it
     for _ in range(PASSES):
         before = beta
         for k in range(BLOCKS):
             blocks[k] = _sums(units.where(F.col("block") == k), beta)
-            beta = _normal(np.sum(blocks, axis=0) + ETA)
+            beta = topics_of(np.sum(blocks, axis=0))
         if not n_words or np.abs(beta - before).sum(0).max() < 2 * STILL:
             break
     topics = Topics(words, beta, subjects, [])
@@ -251,7 +284,7 @@ def fit(units: DataFrame, words: list[str], held: np.ndarray, subjects: list[str
         terms = topics.top_places(k)
         weight = (beta[terms, k][:, None] * own[terms]).sum(0)
         best = int(weight.argmax())
-        clear = weight[best] >= CLEAR * weight.sum() and weight[best] >= 0.25 * beta[terms, k].sum()
+        clear = weight[best] >= CLEAR * np.delete(weight, best).max(initial=0.0) and weight[best] >= LEAST_OWN * beta[terms, k].sum()
         topics.stands_for.append(best if clear else -1)
     return topics
 
